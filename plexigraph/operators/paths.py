@@ -248,9 +248,7 @@ def enumerate_paths(edges: DataFrame, src: str, dst: str, path_len: int, branch:
 
 def path_vertices(paths: DataFrame) -> DataFrame:
     """(pairs array<struct<start, end>>): each path as the ends of its edges."""
-    n = F.size("path") - 1
-    ends = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("path", i).alias("start"), F.element_at("path", i + 1).alias("end")))
-    return paths.select(F.when(n > 0, ends).otherwise(F.array().cast("array<struct<start:string,end:string>>")).alias("pairs"))
+    return paths.select(F.transform(F.slice("path", 2, 1 << 30), lambda x, i: F.struct(F.get("path", i).alias("start"), x.alias("end"))).alias("pairs"))
 
 
 def cause_and_effect(snap: Snapshot, src: str, dst: str, confidence: str, cutoff: float = 0.1, max_hops: int = 10, node_preds: Requirements = None, edge_preds: Requirements = None, max_results: int | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def occurrences(snap: Snapshot, edge_preds=None) -> DataFrame:
 def word_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(w1, w2, doc, pos): the adjacent words of each text, as such a graph's occurrences."""
     words = docs.select(F.col(id_col).alias("doc"), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("w1"), F.element_at("w", i + 1).alias("w2"), i.cast("bigint").alias("pos")))
+    pairs = F.transform(F.slice("w", 2, 1 << 30), lambda x, i: F.struct(F.get("w", i).alias("w1"), x.alias("w2"), (i + 1).cast("bigint").alias("pos")))
     return words.filter(F.size("w") > 1).select("doc", F.explode(pairs).alias("p")).select("p.w1", "p.w2", "doc", "p.pos")
 
 

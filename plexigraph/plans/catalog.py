@@ -25,7 +25,7 @@ USERS_SQL = """
 u AS (SELECT DISTINCT src, dst FROM (
         SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events)
       WHERE dst IS NOT NULL AND src <> dst),
-s AS (SELECT * FROM u WHERE (src * 31 + dst * 17) % 23 = 0)"""
+s AS (SELECT * FROM u WHERE (src * 31 + dst * 17 + src * dst) % 23 = 0)"""
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:

@@ -80,8 +80,10 @@ def read_snap(spark: SparkSession, path: str, options: LoadOptions = LoadOptions
 def read_property_edges(spark: SparkSession, path: str, options: LoadOptions = LoadOptions()) -> Graph:
     """``u v [key value]*`` lines."""
     rows = _lines(spark, path).filter("size(f) >= 2").withColumn("handle", _numbered(options.edge_prefix))
-    pairs = F.transform(F.sequence(F.lit(1), F.floor((F.size("f") - 2) / 2).cast("int")), lambda i: F.struct(F.lit(None).cast("string").alias("_VALUE"), F.element_at("f", 2 * i + 1).alias("_key"), F.element_at("f", 2 * i + 2).alias("v")))
-    data = F.transform(pairs, lambda p: F.struct(p["v"].alias("_VALUE"), p["_key"].alias("_key")))
+    keys = F.filter("f", lambda _, i: (i >= 2) & (i % 2 == 0))
+    values = F.filter("f", lambda _, i: (i >= 2) & (i % 2 == 1))
+    # zip pads the shorter side with null: a key without a value is no property
+    data = F.filter(F.zip_with(values, keys, lambda v, k: F.struct(v.alias("_VALUE"), k.alias("_key"))), lambda d: d["_VALUE"].isNotNull())
     props = _props(rows.filter("size(f) >= 4").select("handle", data.alias("data")), options)
     return _from_pairs(rows.select("handle", F.get("f", F.lit(0)).alias("src"), F.get("f", F.lit(1)).alias("dst")), props)
 
@@ -117,7 +119,7 @@ def read_parquet(spark: SparkSession, path: str, options: LoadOptions = LoadOpti
     """What :func:`write_graph` wrote; a table that is not there is empty."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     there = lambda p: fs.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs.Path(p))
-    load = lambda n: spark.read.parquet(f"{path}/{n}") if there(f"{path}/{n}") else spark.createDataFrame([], TABLES[n])
+    load = lambda n: spark.read.schema(TABLES[n]).parquet(f"{path}/{n}") if there(f"{path}/{n}") else spark.createDataFrame([], TABLES[n])
     return Graph(Elements(load("nodes"), load("node_props")), Elements(load("edges"), load("edge_props")), load("aliases"))
 
 
