@@ -35,6 +35,8 @@ from .common import Stash, column, raw_texts, stash
 BITS = 64
 #: Most members that one verification block holds.
 BLOCK = 4096
+#: Rows up to which the table of ids to drop is broadcast.
+SMALL = 200_000
 #: Relative costs, in microseconds, of one shuffled probe and one comparison.
 PROBE_COST, COMPARE_COST = 3.0, 0.004
 
@@ -397,8 +399,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 10, similar: float = 0.8) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group: that of least id.
 
-    Rows that repeat this id are reduced to one.  A group without any id keeps one row.
+    Rows that repeat this id are reduced to one.  A group without any id keeps its rows without id
+    reduced to one.  Only the ids to drop, and those that repeat, are joined to the texts: broadcast
+    while a count shows that they are few.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, max_bits, similar)
-    kept = stash(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct(), "simhash-keep")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    ids = stash(found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.max((~F.col(id_col).eqNullSafe(F.col("component_id"))).cast("int")).alias("__other")), "simhash-ids")
+    odd = ids.filter("__n > 1 or __other = 1")
+    odd = F.broadcast(odd) if odd.count() <= SMALL else odd
+    marked = docs.join(odd, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    once = marked.filter("__n is null").select(*docs.columns)
+    if ids.filter("__n > 1 and __other = 0").isEmpty():
+        return once
+    return once.unionByName(marked.filter("__n > 1 and __other = 0").select(*docs.columns).dropDuplicates([id_col]))
