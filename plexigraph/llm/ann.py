@@ -20,8 +20,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Stash, column, stash
 
-#: Tables, probes in each, and the vectors a bucket should hold.
-TABLES, PROBES, OCCUPANCY = 12, 6, 512
+#: Tables, probes in each (by parts), and the vectors a bucket should hold.  On independent
+#: normal vectors of 64 dimensions, the hardest case, these probes find 0.99 of the five
+#: nearest with one part and 0.95 or more with two.
+TABLES, PROBES, OCCUPANCY = 12, {1: 10, 2: 256}, 4096
+#: Axes that a probe may take in each part, with more than one.
+AXES = 16
 #: Index vectors in one block.
 BLOCK = 4096
 #: Rows up to which a table is broadcast.
@@ -55,8 +59,7 @@ def buckets(x: np.ndarray, table: int, parts: int, probes: int, seed: int) -> np
     A probe takes one signed axis per part; combinations are ordered by the sum over
     the parts of how far an axis lies behind the part's best one.
     """
-    few = min(probes, 8) if parts > 1 else probes
-    axes, loss = [], []
+    axes, loss, few = [], [], min(probes, AXES) if parts > 1 else probes
     for part in range(parts):
         y = rotate(x, table, part, seed)
         both = np.concatenate((y, -y), axis=1)
@@ -64,7 +67,7 @@ def buckets(x: np.ndarray, table: int, parts: int, probes: int, seed: int) -> np
         top = np.argsort(-both, axis=1, kind="stable")[:, :few]
         value = np.take_along_axis(both, top, axis=1)
         axes.append(top)
-        loss.append((value[:, :1] - value) ** 2 + 2 * value[:, :1] * (value[:, :1] - value))
+        loss.append(value[:, :1] - value)
     wide = 2 * (1 << max(1, math.ceil(math.log2(x.shape[1]))))
     combos = list(itertools.product(range(few), repeat=parts))
     total = np.stack([sum(loss[p][:, c[p]] for p in range(parts)) for c in combos], axis=1)
@@ -191,12 +194,14 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
     asked = stash(once.filter(F.pmod("id", F.lit(every)) == 0).join(classes.select("v", "c"), "v").select("id", "c"), "ann-asked")
     wanted = stash(classes.join(asked.select("c").distinct(), "c", "left_semi").select("c", "v"), "ann-wanted")
     n = classes.count()
-    parts = max(1, math.ceil(math.log(max(n / OCCUPANCY, 1.0)) / math.log(2 * (1 << max(1, math.ceil(math.log2(shape[0]["d"])))))))
+    axes = 2 << max(1, math.ceil(math.log2(shape[0]["d"])))
+    parts = max(1, math.ceil(math.log(max(n / OCCUPANCY, 1.0), axes)))
+    probes = PROBES.get(parts) or PROBES[2] * 12 ** (parts - 2)
 
     index = Stash(_hashed(classes.select("c", "v"), parts, 1, seed), "ann-index")
     sizes = Stash(index.df.groupBy("t", "b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g")).filter("g > 1"), "ann-sizes")
     large = F.broadcast(sizes.df) if sizes.df.count() <= SMALL else sizes.df
-    found = stash(_best(_blocks(index.df, _hashed(wanted, parts, PROBES, seed), large, k + 1, kind), k + 1), "ann-found")
+    found = stash(_best(_blocks(index.df, _hashed(wanted, parts, probes, seed), large, k + 1, kind), k + 1), "ann-found")
     index.drop()
 
     def answers(best: DataFrame) -> DataFrame:
