@@ -82,15 +82,26 @@ def _matrix(batch: pa.RecordBatch, name: str = "v") -> np.ndarray:
     return flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 1)
 
 
+def _tame(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares overflow or vanish, scaled by their largest component; the others as they are."""
+    with np.errstate(over="ignore"):
+        n = (x * x).sum(axis=1)
+    odd = ~np.isfinite(n) | (n < 1e-200)
+    if odd.any():
+        x = x.copy()
+        x[odd] /= np.abs(x[odd]).max(axis=1, keepdims=True)
+    return x
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; scaled by the largest component first, so that none overflows."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows scaled to length one."""
+    x = _tame(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, summed the same way wherever it is called."""
-    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
+    a, b = _tame(a), _tame(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -107,8 +118,8 @@ def _hashed(rows: DataFrame, parts: int, probes: int, seed: int) -> DataFrame:
                     for p in range(code.shape[1]):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code[:, p]), column(b, "c"), column(b, "v")], ["t", "b", "c", "v"])
 
-    kind = rows.schema["c"].dataType.simpleString()
-    return rows.select("c", "v").mapInArrow(run, f"t int, b long, c {kind}, v array<float>")
+    kind, v = (rows.schema[x].dataType.simpleString() for x in ("c", "v"))
+    return rows.select("c", "v").mapInArrow(run, f"t int, b long, c {kind}, v {v}")
 
 
 def _search(most: int):
@@ -179,8 +190,9 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
     exactly, against all rows, in blocks.
     """
     spark, v = vectors.sparkSession, F.col("v")
-    sound = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(3.4028234663852886e38))
+    double = vectors.schema[vector_col].dataType.simpleString() == "array<double>"
+    sound = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>" if double else "array<float>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     sound = sound.filter(F.forall(v, finite)).filter(F.exists(v, lambda x: x != 0))
     shape = sound.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
     kind = sound.schema["id"].dataType.simpleString()

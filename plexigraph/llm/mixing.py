@@ -143,7 +143,7 @@ def take(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
     per = mix.filter("copies > 0").groupBy("id", "key").agg(F.max("copies").alias("__copies")).withColumnsRenamed({"id": "__id", "key": "__key"})
     joined = docs.join(per, F.col(id_col).eqNullSafe(F.col("__id")) & F.md5(F.col(text_col)).eqNullSafe(F.col("__key")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The result of op1 in DuckDB's SQL: the same ranking as one window per source.

@@ -64,8 +64,8 @@ def pack(
     returns no rows.
 
     Positions in a bucket are exact and contiguous without a sort of the bucket:
-    a hash cuts it into slices of about SLICE rows, each slice is numbered by
-    itself, and counts of the slices before it are added.
+    the order is that of a hash, whose first digits cut the bucket into slices of about
+    SLICE rows; each slice is numbered by itself, and counts of those before it are added.
     """
     count = words(F.col(text_col)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
     lengths = stash(docs.select(F.col(id_col).alias("id"), count.alias("n"), F.md5(F.col(text_col)).alias("key")), "pack-lengths")
@@ -82,9 +82,10 @@ def pack(
             out = F.when(F.col("len") <= cut, F.lit(v).cast("long")).otherwise(out)
         return F.when(F.col("len") > 0, out)
 
-    hashed = pieces.withColumn("h", F.xxhash64("id", "key", "piece"))
+    name = F.concat_ws("/", F.col("id").cast("string"), "key", F.col("piece").cast("string"))
+    hashed = pieces.withColumn("h", F.md5(name))
     slices = by_bucket([-(-c // SLICE) for c in counts])
-    nth = F.floor(F.pmod(F.col("h"), F.lit(1 << 31)) / F.lit(float(1 << 31)) * slices)
+    nth = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) * slices)
     cut = hashed.withColumn("bucket_len", by_bucket(cuts)).withColumn("rows", by_bucket([max(1, budget // c) for c in cuts])).withColumn("slice", nth)
     sizes = cut.filter("len > 0").groupBy("bucket_len", "slice").agg(F.count("*").alias("c"))
     offset = F.coalesce(F.sum("c").over(Window.partitionBy("bucket_len").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -98,3 +99,35 @@ def pack(
     none = F.lit(None).cast("long")
     empty = pieces.filter("len = 0").select(F.col("id").alias(id_col), "piece", F.col("len").alias("n_tokens"), none.alias("bucket_len"), none.alias("batch"), none.alias("slot"), F.lit(0).cast("long").alias("padding"))
     return packed.unionByName(empty)
+
+
+#: The result of op3 in DuckDB's SQL: the boundaries by a recursive query over the histogram.
+ORACLE_SQL = r"""
+WITH RECURSIVE lens AS (
+  SELECT doc_id, md5(text) AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM documents),
+parts AS (
+  SELECT doc_id, key, n, CAST(unnest(range(0, greatest(CAST(ceil(n / 2048.0) AS BIGINT), 1))) AS INTEGER) AS piece FROM lens),
+pieces AS (
+  SELECT doc_id, key, piece, CAST(least(n - piece * 2048, 2048) AS INTEGER) AS len FROM parts),
+hist AS (
+  SELECT len, count(*) AS c, row_number() OVER (ORDER BY len) AS j FROM pieces WHERE len > 0 GROUP BY len),
+pre AS (
+  SELECT j, len, CAST(sum(c) OVER (ORDER BY j) AS BIGINT) AS p, CAST(sum(c * len) OVER (ORDER BY j) AS BIGINT) AS t FROM hist),
+dp(k, j, p, t, cost, cuts) AS (
+  SELECT 1, j, p, t, len * p - t, [len] FROM pre
+  UNION ALL
+  SELECT a.k + 1, b.j, b.p, b.t, min(a.cost + b.len * (b.p - a.p) - (b.t - a.t)),
+         arg_min(list_append(a.cuts, b.len), (a.cost + b.len * (b.p - a.p) - (b.t - a.t)) * 4096 + a.j)
+  FROM dp a JOIN pre b ON b.j > a.j WHERE a.k < 8 GROUP BY a.k + 1, b.j, b.p, b.t),
+best AS (
+  SELECT cuts FROM dp WHERE j = (SELECT max(j) FROM pre) ORDER BY cost, k LIMIT 1),
+cut AS (
+  SELECT doc_id, key, piece, len, (SELECT list_min(list_filter(cuts, lambda c: c >= len)) FROM best) AS bucket_len FROM pieces),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY len > 0, bucket_len ORDER BY md5(concat_ws('/', CAST(doc_id AS VARCHAR), key, CAST(piece AS VARCHAR))), doc_id, key, piece) - 1 AS nth,
+         greatest(1, 65536 // bucket_len) AS room FROM cut)
+SELECT doc_id, piece, len AS n_tokens, CASE WHEN len > 0 THEN CAST(bucket_len AS BIGINT) END AS bucket_len,
+       CASE WHEN len > 0 THEN nth // room END AS batch, CASE WHEN len > 0 THEN nth % room END AS slot,
+       CASE WHEN len > 0 THEN CAST(bucket_len - len AS BIGINT) ELSE 0 END AS padding
+FROM placed
+"""

@@ -88,6 +88,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_pareto_mix": mixing.ORACLE_SQL,
+    "op3_length_buckets": packing.ORACLE_SQL,
     "op8_warc_index": warc.ORACLE_SQL,
     "op9_line_chunks": linededup.ORACLE_SQL,
 }

@@ -256,6 +256,15 @@ def test_few_neighbours_are_all_found(spark):
     assert ann.nearest(vectors(spark, [(50, [1.0, 2.0], 0)]), every=50).count() == 0
 
 
+def test_cosine_of_extreme_vectors(spark):
+    a = np.array([[1e200, 1e200], [1e-200, 0.0], [3.0, 4.0]])
+    b = np.array([[1.0, 1.0], [1e-190, 1e-190], [4.0, 3.0]])
+    assert ann.cosine(a, b) == pytest.approx([1.0, np.sqrt(0.5), 0.96])
+    ship(spark)
+    rows = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1.0, 1.0]), (2, [1.0, 1.1])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in ann.nearest(rows, every=50).orderBy("rank").collect()] == [1, 2]
+
+
 def test_hadamard():
     x = np.random.default_rng(0).normal(size=(3, 16))
     h = np.array([[1.0]])
