@@ -146,6 +146,15 @@ class Snapshot:
     def spark(self) -> SparkSession:
         return self.nodes.rows.sparkSession
 
+    def views(self, prefix: str) -> None:
+        """Registers the tables for SQL: <prefix>_nodes, _edges, _node_props, _edge_props and _aliases."""
+        self.nodes.rows.createOrReplaceTempView(f"{prefix}_nodes")
+        self.edges.rows.createOrReplaceTempView(f"{prefix}_edges")
+        self.nodes.properties().createOrReplaceTempView(f"{prefix}_node_props")
+        self.edges.properties().createOrReplaceTempView(f"{prefix}_edge_props")
+        if self.aliases is not None:
+            self.aliases.createOrReplaceTempView(f"{prefix}_aliases")
+
     def edges_with(self, req: Requirements = None) -> DataFrame:
         """(handle, src, dst) of the edges that satisfy the requirements."""
         return self.edges.having(req).select("handle", "src", "dst")

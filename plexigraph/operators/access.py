@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import NotFoundError
 from ..functions.predicates import Requirements
-from ..model import Snapshot
+from ..model import Graph, Snapshot, visible
 
 
 def resolve(snap: Snapshot, names: Iterable[str]) -> DataFrame:
@@ -135,7 +135,11 @@ def degree_histogram(snap: Snapshot, props: Requirements = None) -> DataFrame:
 def top_neighbors(snap: Snapshot, key: str, k: int) -> DataFrame:
     """(src, handle, dst, rank): each node's k edges of largest integer property, ties by handle; no number counts as 0."""
     number = F.coalesce(F.regexp_extract("value", r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0))
-    rows = snap.edges.rows.select("src", "handle", "dst").join(snap.edges.value(key).withColumn("w", number).select("handle", "w"), "handle") if key not in snap.edges.wide else snap.edges.rows.select("src", "handle", "dst", F.coalesce(F.regexp_extract(F.col(snap.edges.wide[key]).cast("string"), r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0)).alias("w"))
+    if key in snap.edges.wide:
+        rows = snap.edges.rows.select("src", "handle", "dst", F.col(snap.edges.wide[key]).cast("string").alias("value"))
+    else:
+        rows = snap.edges.rows.select("src", "handle", "dst").join(snap.edges.value(key), "handle")
+    rows = rows.withColumn("w", number)
     order = Window.partitionBy("src").orderBy(F.col("w").desc(), "handle")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("src", "handle", "dst", "rank")
 
@@ -144,3 +148,13 @@ def random_neighbors(snap: Snapshot, k: int, seed: int = 42) -> DataFrame:
     """(src, handle, dst): k random edges of each node, the same on every run."""
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), "handle"), "handle")
     return snap.edges.rows.select("src", "handle", "dst").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
+
+
+def versions_at(graph: Graph, asked: DataFrame, edges: bool = False) -> DataFrame:
+    """(handle, version, created_v) for each (handle, version) asked about at which the element is visible.
+
+    The as-of lookup of many pairs at once: an equi-join on the handle, and the visibility
+    rule with the version as a column.
+    """
+    rows = (graph.edges if edges else graph.nodes).rows.select("handle", "created_v", "deleted_v")
+    return asked.join(rows, "handle").filter(visible(F.col("version"))).select("handle", "version", "created_v")

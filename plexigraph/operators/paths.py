@@ -8,7 +8,7 @@ Semantics are those of breadth-first levels, with ties to the smallest handle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -43,23 +43,15 @@ def levels(edges: DataFrame, starts: DataFrame, scratch: Scratch, max_hops: int
             step = step.select(F.col("dst").alias("handle"), F.concat(F.array("dst"), "path").alias("path")).groupBy("handle").agg(F.min("path").alias("path"))
         else:
             step = step.select(F.col("dst").alias("handle")).distinct()
-        for s in _merge(seen):
-            step = step.join(s.select("handle"), "handle", "left_anti")
-        step = step.withColumn("hops", F.lit(hops))
+        # one anti join with the union of all levels, however many there are
+        step = step.join(_all(seen).select("handle"), "handle", "left_anti").withColumn("hops", F.lit(hops))
         front = scratch.save(step.select(*first.columns), f"level{hops}")
         seen.append(front)
-    out = seen[0]
-    for s in seen[1:]:
-        out = out.unionByName(s)
-    return out
+    return _all(seen)
 
 
-def _merge(parts: list[DataFrame]) -> list[DataFrame]:
-    """One union, so that a step joins once, whatever the number of levels."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return [out]
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reach_set(snap: Snapshot, starts: DataFrame, props: Requirements = None, max_hops: int | None = None) -> DataFrame:
@@ -139,11 +131,10 @@ def best_costs(edges: DataFrame, src: str, widest: bool = False, paths: bool = F
 
 def weights(snap: Snapshot, key: str) -> DataFrame:
     """(src, dst, w): edges with an integer weight property; others are left out."""
-    rows = snap.edges.rows.select("handle", "src", "dst")
     if key in snap.edges.wide:
         rows = snap.edges.rows.select("src", "dst", F.col(snap.edges.wide[key]).cast("string").alias("value"))
     else:
-        rows = rows.join(snap.edges.value(key), "handle")
+        rows = snap.edges.rows.select("handle", "src", "dst").join(snap.edges.value(key), "handle")
     return rows.select("src", "dst", F.trim("value").try_cast("bigint").alias("w")).filter("w is not null")
 
 
@@ -158,7 +149,7 @@ def weighted_path(snap: Snapshot, src: str, dst: str, key: str, widest: bool = F
 
 
 def _usable(snap: Snapshot, node_preds: Requirements, edge_preds: Requirements, keep_dst: str | None, branching: int | None, by: str | None, random_seed: int | None) -> DataFrame:
-    rows = snap.edges.having(edge_preds).select(*[c for c in snap.edges.rows.columns])
+    rows = snap.edges.having(edge_preds)
     if node_preds:
         ends = snap.nodes.having(node_preds).select(F.col("handle").alias("end"))
         for side in ("src", "dst"):
@@ -240,10 +231,7 @@ def enumerate_paths(edges: DataFrame, src: str, dst: str, path_len: int, branch:
         front = step.filter(F.col("handle") != dst)
         if front.isEmpty():
             break
-    out = done[0] if done else spark.createDataFrame([], "path array<string>, edges array<string>")
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return _all(done) if done else spark.createDataFrame([], "path array<string>, edges array<string>")
 
 
 def path_vertices(paths: DataFrame) -> DataFrame:
@@ -260,11 +248,7 @@ def cause_and_effect(snap: Snapshot, src: str, dst: str, confidence: str, cutoff
     """
     scratch = Scratch(snap.spark, "confidence")
     usable = _usable(snap, node_preds, edge_preds, None, None, None, None)
-    value = F.col(snap.edges.wide[confidence]).cast("string") if confidence in snap.edges.wide else None
-    if value is not None:
-        c = snap.edges.rows.select("handle", value.alias("value"))
-    else:
-        c = snap.edges.value(confidence)
+    c = snap.edges.value(confidence)
     e = scratch.save(usable.join(c, "handle").select(F.col("src").alias("from"), "dst", F.col("value").try_cast("double").alias("c")).filter("c is not null"), "edges")
     front = snap.nodes.having(node_preds).filter(F.col("handle") == src).select("handle", F.array("handle").alias("path"), F.lit(1.0).alias("confidence"))
     done = []
@@ -276,7 +260,5 @@ def cause_and_effect(snap: Snapshot, src: str, dst: str, confidence: str, cutoff
         front = step.filter(F.col("handle") != dst)
         if front.isEmpty():
             break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    out = _all(done)
     return out if max_results is None else out.orderBy(F.col("confidence").desc(), "path").limit(max_results)

@@ -25,7 +25,7 @@ USERS_SQL = """
 u AS (SELECT DISTINCT src, dst FROM (
         SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events)
       WHERE dst IS NOT NULL AND src <> dst),
-s AS (SELECT * FROM u WHERE (src * 31 + dst * 17 + src * dst) % 23 = 0)"""
+s AS (SELECT * FROM u WHERE (src * 31 + dst * 17 + 5) % 23 < 2)"""
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -247,10 +247,10 @@ def enumerate_paths(spark, sf_dir):
 
 @query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst, round(0.05 + (src * 3 + dst * 5) % 19 / 20, 2) AS c FROM s),
 p(node, path, conf) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 1.0::DOUBLE
-  UNION ALL SELECT dst, list_append(path, dst), conf * c FROM p JOIN e ON node = src WHERE NOT list_contains(path, dst) AND node <> 5 AND len(path) <= 8 AND (dst = 5 OR conf * c > 0.1))
+  UNION ALL SELECT dst, list_append(path, dst), conf * c FROM p JOIN e ON node = src WHERE NOT list_contains(path, dst) AND node <> 5 AND len(path) <= 6 AND (dst = 5 OR conf * c > 0.001))
 SELECT array_to_string(path, '>') AS path, round(conf, 6) AS confidence FROM p WHERE node = 5""")
 def confidence_paths(spark, sf_dir):
-    found = paths.cause_and_effect(_users(spark, sf_dir, True), "U0", "U5", "confidence", 0.1, max_hops=8)
+    found = paths.cause_and_effect(_users(spark, sf_dir, True), "U0", "U5", "confidence", 0.001, max_hops=6)
     return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -290,6 +290,15 @@ def nn_layer(spark, sf_dir):
 # -- versions, clocks, transactions --------------------------------------------------------------
 
 
+@query("""SELECT event_id, o_orderkey AS orderkey FROM events JOIN orders ON o_orderkey = event_id + 1 AND date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) < event_id % 2400""")
+def asof_lookup(spark, sf_dir):
+    """As-of lookups of many (handle, version) pairs, one per event."""
+    e = b.table(spark, sf_dir, "events")
+    asked = e.select(F.concat(F.lit("O"), (F.col("event_id") + 1).cast("string")).alias("handle"), (F.col("event_id") % 2400).alias("version"), "event_id")
+    found = access.versions_at(b.sales_graph(spark, sf_dir), asked.select("handle", "version"))
+    return found.select((b.key_of("handle") - 1).alias("event_id"), b.key_of("handle").alias("orderkey"))
+
+
 @query("""SELECT o_orderkey AS orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) < 900
 WHERE date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) < 900 GROUP BY 1""")
 def asof_orders(spark, sf_dir):

@@ -65,7 +65,7 @@ def user_pairs(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFr
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
     e = e.filter("dst is not null and src != dst").distinct()
-    return e.filter("(src * 31 + dst * 17 + src * dst) % 23 = 0") if sparse else e
+    return e.filter("(src * 31 + dst * 17 + 5) % 23 < 2") if sparse else e
 
 
 def user_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .errors import AbortedError
 from .model import TABLES, Elements, Graph, Snapshot
@@ -274,6 +274,3 @@ class Store:
         self._publish(number, m)
         return number
 
-
-def column_or_null(name: str | None) -> Column:
-    return F.lit(None).cast("string") if name is None else F.col(name)

@@ -75,6 +75,16 @@ def test_access(social, spark):
     assert handles(access.edges_of(social)) == ["e1", "e2", "e3", "e4"]
 
 
+def test_views_and_versions(social, spark):
+    social.views("g")
+    rows = spark.sql("SELECT e.handle FROM g_edges e JOIN g_edge_props p ON p.handle = e.handle AND p.value = 'posted'").collect()
+    assert [r[0] for r in rows] == ["e3"]
+    g = Graph(Elements(frame(spark, "nodes", [("a", 2, 6), ("a", 8, None), ("b", 4, None)])), Elements(frame(spark, "edges", [])), None)
+    asked = spark.createDataFrame([(h, v) for h in "ab" for v in (1, 3, 6, 7, 9)], "handle string, version long")
+    assert sorted(tuple(r) for r in access.versions_at(g, asked).collect()) == [("a", 3, 2), ("a", 9, 8), ("b", 6, 4), ("b", 7, 4), ("b", 9, 4)]
+    assert g.compact(7).nodes.rows.count() == 2
+
+
 def test_predicates(spark):
     vals = ["", "10", "9", "abc", "b", "é", "z"]
     g = graph_of(spark, [f"n{i}" for i in range(len(vals))] + ["none"], [], [(f"n{i}", "k", v) for i, v in enumerate(vals)]).at(NOW)
