@@ -10,11 +10,12 @@
    chooses the number of partitions and a radius for each.  If the radii
    satisfy sum(radius + 1) = max_bits + 1, any two fingerprints within
    ``max_bits`` agree to within the radius in at least one partition.
-4. Each fingerprint probes its partitions' values (and, for radius r, all
-   values within r flips).  Probes that share a value are verified by exact Hamming
-   distance; blocks report a spanning forest instead of their pairs, so
-   that output stays linear.  A value that too many fingerprints share is split
-   into chunks and every pair of chunks is verified by a task of its own.
+4. Each fingerprint probes its partitions' values and, for radius r, all values
+   within ceil(r / 2) flips: two values at most r apart meet half way.  Probes that
+   share a value are verified by exact Hamming distance; blocks report a spanning
+   forest instead of their pairs, so that output stays linear.  A value that too many
+   fingerprints share is split into chunks and every pair of chunks is verified by a
+   task of its own.
 5. Connected components of the forest edges give the classes.
 """
 
@@ -38,7 +39,7 @@ BLOCK = 4096
 #: Rows up to which the table of ids to drop is broadcast.
 SMALL = 200_000
 #: Relative costs, in microseconds, of one shuffled probe and one comparison.
-PROBE_COST, COMPARE_COST = 3.0, 0.004
+PROBE_COST, COMPARE_COST = 10.0, 0.003
 
 
 # -- fingerprints ------------------------------------------------------------
@@ -94,7 +95,12 @@ class Plan:
 
     def rows(self) -> int:
         """Probes per fingerprint."""
-        return sum(_ball(len(p), r) for p, r in zip(self.parts, self.radii, strict=True))
+        return sum(_ball(len(p), _flips(r)) for p, r in zip(self.parts, self.radii, strict=True))
+
+
+def _flips(radius: int) -> int:
+    """Flips that each side makes, so that values at most ``radius`` apart meet; -1: no probe."""
+    return (radius + 1) // 2 if radius >= 0 else -1
 
 
 def _ball(width: int, radius: int) -> int:
@@ -195,11 +201,17 @@ def choose_plan(n: int, both: np.ndarray, max_bits: int) -> Plan:
         units = max_bits + 1
         costs = np.full((m, units + 1), np.inf)
         for i, part in enumerate(parts):
-            near = within(n, both, part, units)
+            w = len(part)
+            near = within(n, both, part, units + 1)
             costs[i, 0] = 0
-            for u in range(1, min(units, len(part)) + 1):
-                if (rows := _ball(len(part), u - 1)) <= 20_000:
-                    costs[i, u] = n * (rows * PROBE_COST + n * max(near[u - 1], 2.0 ** -len(part)) * rows * COMPARE_COST)
+            for u in range(1, min(units, w) + 1):
+                reach = min(2 * _flips(u - 1), w)
+                if (rows := _ball(w, _flips(u - 1))) <= 20_000:
+                    # were values even, a share ball(reach) / 2 ** w of pairs would lie within reach,
+                    # and each meet rows ** 2 / ball(reach) times
+                    pairs = n * max(near[min(reach, units + 1)], _ball(w, reach) / 2.0**w) * rows * rows / _ball(w, reach)
+                    chunks = max(1.0, n * rows / 2.0**w / (BLOCK // 2))  # copies of a row where values are split
+                    costs[i, u] = n * (rows * chunks * PROBE_COST + pairs * COMPARE_COST)
         table, choice = np.full((m + 1, units + 1), np.inf), np.zeros((m + 1, units + 1), int)
         table[0, 0] = 0
         for i in range(m):
@@ -221,11 +233,11 @@ def choose_plan(n: int, both: np.ndarray, max_bits: int) -> Plan:
 
 
 def _keys(fp: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
-    """(partition, key) arrays: the partition's bits, with every flip within its radius."""
+    """(partition, key) arrays: the partition's bits, with every combination of flips."""
     bits = _bits(fp)
     for i, (part, radius) in enumerate(zip(plan.parts, plan.radii, strict=True)):
         own = bits[:, list(part)].astype(np.uint64) @ (np.uint64(1) << np.arange(len(part), dtype=np.uint64))
-        for r in range(radius + 1):
+        for r in range(_flips(radius) + 1):
             for flips in itertools.combinations(range(len(part)), r):
                 yield i, own ^ np.uint64(sum(1 << f for f in flips))
 
@@ -407,8 +419,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ids = stash(found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.max((~F.col(id_col).eqNullSafe(F.col("component_id"))).cast("int")).alias("__other")), "simhash-ids")
     odd = ids.filter("__n > 1 or __other = 1")
     odd = F.broadcast(odd) if odd.count() <= SMALL else odd
+    own = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.join(odd, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    once = marked.filter("__n is null").select(*docs.columns)
+    once = marked.filter("__n is null").select(*own)
     if ids.filter("__n > 1 and __other = 0").isEmpty():
         return once
-    return once.unionByName(marked.filter("__n > 1 and __other = 0").select(*docs.columns).dropDuplicates([id_col]))
+    return once.unionByName(marked.filter("__n > 1 and __other = 0").select(*own).dropDuplicates([id_col]))
