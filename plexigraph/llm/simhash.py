@@ -64,12 +64,13 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, check: bool = False) -> DataFrame:
-    """(id, fp long, check long): the SimHash of every row's whole text.
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, check: bool = False, key: bool = False) -> DataFrame:
+    """(id, key, fp long, check long): the SimHash of every row's whole text.
 
     A null text counts as empty.  ``bytes.lower`` and ``bytes.split`` change
     and cut at ASCII characters only, which is what the operator asks for.  With
-    ``check`` there is a second, independent fingerprint; else it is 0.
+    ``check`` there is a second, independent fingerprint; else it is 0.  With ``key``
+    there is md5 of the text; else it is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,10 +78,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4,
             texts = [b"" if t is None else t.tobytes() for t in raw_texts(column(b, "_text"))]
             own = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             more = np.array([fingerprint(t, shingle, 43) if check else 0 for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(b, "_id"), pa.array(own), pa.array(more)], ["id", "fp", "check"])
+            yield pa.RecordBatch.from_arrays([column(b, "_id"), column(b, "_key"), pa.array(own), pa.array(more)], ["id", "key", "fp", "check"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"id {kind}, fp long, check long")
+    md5 = F.md5(F.col(text_col)) if key else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), md5.alias("_key")).mapInArrow(run, f"id {kind}, key string, fp long, check long")
 
 
 # -- plan ---------------------------------------------------------------------
@@ -384,6 +386,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similar: float | None, key: bool) -> DataFrame:
+    """(id, key, fp, root, component_id): each row with its class's least fingerprint and least id."""
+    each = stash(fingerprints(docs, id_col, text_col, shingle, similar is not None, key), "simhash-fp")
+    distinct = Stash(each.groupBy("fp").agg(F.min("id").alias("least"), F.min("check").alias("check")), "simhash-distinct")
+    n, both = cooccurrence(distinct.df)
+    most = 2 * BITS if similar is None else math.floor((1 - similar) * 2 * BITS + 1e-9)
+    edges = link_forest(distinct.df, choose_plan(n, both, max_bits), max_bits, most)
+    comp = components(edges)
+    rooted = distinct.df.join(comp, distinct.df["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = stash(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
+    distinct.drop()
+    return each.join(classes, "fp").select("id", "key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similar: float | None = None) -> DataFrame:
     """One row per document: (id_col, fp long, component_id).
 
@@ -395,33 +412,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return a row.  Null ids are never a component's id unless it has no other.
     An empty table returns no rows.  Other columns of ``docs`` are not read.
     """
-    each = stash(fingerprints(docs, id_col, text_col, shingle, similar is not None), "simhash-fp")
-    distinct = Stash(each.groupBy("fp").agg(F.min("id").alias("least"), F.min("check").alias("check")), "simhash-distinct")
-    n, both = cooccurrence(distinct.df)
-    most = 2 * BITS if similar is None else math.floor((1 - similar) * 2 * BITS + 1e-9)
-    edges = link_forest(distinct.df, choose_plan(n, both, max_bits), max_bits, most)
-    comp = components(edges)
-    rooted = distinct.df.join(comp, distinct.df["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stash(rooted.join(ids, "root").select("fp", "component_id"), "simhash-classes")
-    distinct.drop()
-    return each.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = _classes(docs, id_col, text_col, shingle, max_bits, similar, False)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 10, similar: float = 0.8) -> DataFrame:
-    """``docs``, all columns, with one document of each near-duplicate group: that of least id.
+    """``docs``, all columns, with one document of each near-duplicate group.
 
-    Rows that repeat this id are reduced to one.  A group without any id keeps its rows without id
-    reduced to one.  Only the ids to drop, and those that repeat, are joined to the texts: broadcast
-    while a count shows that they are few.
+    That of least id stays (null last), of several rows with that id the one whose text has the
+    least md5, and of rows equal in both, one.  Only the documents to drop, and those that repeat,
+    are joined to the texts: broadcast while a count shows that they are few.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits, similar)
-    ids = stash(found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.max((~F.col(id_col).eqNullSafe(F.col("component_id"))).cast("int")).alias("__other")), "simhash-ids")
-    odd = ids.filter("__n > 1 or __other = 1")
-    odd = F.broadcast(odd) if odd.count() <= SMALL else odd
+    found = _classes(docs, id_col, text_col, shingle, max_bits, similar, True)
+    place = F.struct(F.col("id").isNull().alias("last"), "id", F.coalesce("key", F.lit("")).alias("key"))
+    counted = Stash(found.groupBy("root", "id", "key").agg(F.count("*").alias("n")), "simhash-counted").df
+    first = Stash(counted.groupBy("root").agg(F.min(place).alias("first")), "simhash-first").df
+    judged = counted.join(first, "root").withColumn("other", place != F.col("first")).filter("other or n > 1")
+    odd = stash(judged.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("other").alias("__other")), "simhash-odd")
+    few = F.broadcast(odd) if odd.count() <= SMALL else odd
     own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.join(odd, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    once = marked.filter("__n is null").select(*own)
-    if ids.filter("__n > 1 and __other = 0").isEmpty():
+    marked = docs.join(few, F.col(id_col).eqNullSafe(F.col("__id")) & F.md5(F.col(text_col)).eqNullSafe(F.col("__key")), "left")
+    once = marked.filter("__other is null").select(*own)
+    again = odd.filter("not __other")
+    if again.isEmpty():
         return once
-    return once.unionByName(marked.filter("__n > 1 and __other = 0").select(*own).dropDuplicates([id_col]))
+    return once.unionByName(marked.filter("not __other").dropDuplicates(["__id", "__key"]).select(*own))

@@ -118,8 +118,9 @@ def test_simhash_edges(spark):
     clash = frame(spark, [(1, "a b"), (2, "a b"), (3, "q r s")]).withColumn("fp", F.lit(1)).withColumn("id", F.lit("x")).withColumn("component_id", F.lit(0))
     kept = simhash.keep_one(clash)
     assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
-    rows = [(1, "same text here"), (1, "same text here"), (2, "same text here"), (3, "other")]
-    assert sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()) == [1, 3]
+    rows = [(1, "same text here"), (1, "same text here"), (2, "same text here"), (3, "other"), (3, "quite another"), (None, "alone"), (None, "lonely"), (None, "other"), (None, "alone"), (8, None), (7, "")]
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", "same text here"), ("3", "other"), ("3", "quite another"), ("7", ""), ("None", "alone"), ("None", "lonely")]
 
 
 def test_components_of_a_long_chain(spark):
