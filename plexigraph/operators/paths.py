@@ -111,21 +111,28 @@ def best_costs(edges: DataFrame, src: str, widest: bool = False, paths: bool = F
     spark = spark or edges.sparkSession
     scratch = Scratch(spark, "costs")
     e = scratch.save(edges.groupBy("src", "dst").agg((F.max if widest else F.min)("w").alias("w")), "edges")
-    first = spark.createDataFrame([(src, None if widest else 0, [src])], "handle string, cost long, path array<string>")
-    known = front = scratch.save(first, "known0")
-    step = 0
+    key = lambda c: -F.col(c) if widest else F.col(c)
+
+    def settle(parts: list[DataFrame]) -> DataFrame:
+        """The best cost and path of each node over all steps."""
+        best = _all(parts).groupBy("handle").agg(F.min(F.struct(key("cost").alias("k"), "path")).alias("b"))
+        return best.select("handle", key("b.k").alias("cost"), F.col("b.path").alias("path"))
+
+    front = scratch.save(spark.createDataFrame([(src, None if widest else 0, [src])], "handle string, cost long, path array<string>"), "front0")
+    fronts, step = [front], 0
     while not front.isEmpty():
         step += 1
         f = front.withColumnRenamed("handle", "at")
         cost = F.when(F.col("cost").isNull(), F.col("w")).otherwise(F.least("cost", "w")) if widest else F.col("cost") + F.col("w")
         way = F.concat("path", F.array("dst")) if paths else F.lit(None).cast("array<string>")
-        moved = f.join(e, f["at"] == e["src"]).filter(F.col("dst") != src).select(F.col("dst").alias("handle"), cost.alias("c"), way.alias("way"))
-        order = F.struct((-F.col("c") if widest else F.col("c")).alias("k"), F.col("way").alias("way"))
-        best = moved.groupBy("handle").agg(F.min(order).alias("b")).select("handle", (-F.col("b.k") if widest else F.col("b.k")).alias("c"), F.col("b.way").alias("way"))
-        old = known.select("handle", F.col("cost").alias("old"))
-        better = best.join(old, "handle", "left").filter(F.col("old").isNull() | (F.col("c") > F.col("old") if widest else F.col("c") < F.col("old")))
-        front = scratch.save(better.select("handle", F.col("c").alias("cost"), F.col("way").alias("path")), f"front{step}")
-        known = scratch.save(known.join(front.select("handle"), "handle", "left_anti").unionByName(front), f"known{step}")
+        moved = f.join(e, f["at"] == e["src"]).filter(F.col("dst") != src).select(F.col("dst").alias("handle"), cost.alias("cost"), way.alias("path"))
+        old = settle(fronts).select("handle", F.col("cost").alias("old"))
+        better = settle([moved]).join(old, "handle", "left").filter(F.col("old").isNull() | (F.col("cost") > F.col("old") if widest else F.col("cost") < F.col("old")))
+        front = scratch.save(better.select("handle", "cost", "path"), f"front{step}")
+        fronts.append(front)
+        if len(fronts) > 8:  # one table again, so that plans stay short
+            fronts = [scratch.save(settle(fronts), f"known{step}")]
+    known = settle(fronts)
     return known if paths else known.drop("path")
 
 

@@ -56,13 +56,14 @@ def _step(compute: Compute, params: Any):
     return run
 
 
-def run_program(snap: Snapshot, compute: Compute, starts: list[tuple[str, Any]] | DataFrame, params: Any = None, max_steps: int = 100, combine: Callable | None = None) -> DataFrame:
+def run_program(snap: Snapshot, compute: Compute, starts: list[tuple[str, Any]] | DataFrame, params: Any = None, max_steps: int = 100, combine: Callable | None = None, traffic: list[DataFrame] | None = None) -> DataFrame:
     """(handle, payload): the results that a program emits, payloads as JSON.
 
     ``compute(vertex, messages, params)`` runs at each vertex that has messages and returns
     a :class:`Turn`.  State lives per vertex and run.  Messages to a vertex that is not visible
     are dropped.  ``combine``, an aggregate over the column ``payload``, folds the messages to
     one vertex before the shuffle, which a hub needs.  The run ends with the messages.
+    ``traffic`` collects, per step, (handle, n): the messages to each vertex, as weights for placement.
     """
     importable(snap.spark)
     scratch = Scratch(snap.spark, "program")
@@ -83,6 +84,8 @@ def run_program(snap: Snapshot, compute: Compute, starts: list[tuple[str, Any]]
         mail = scratch.save(mail, f"mail{step}")
         if mail.isEmpty():
             break
+        if traffic is not None:
+            traffic.append(mail.groupBy("handle").agg(F.count("*").alias("n")))
         active = vertices.join(mail.select("handle").distinct(), "handle", "left_semi").join(states, "handle", "left")
         turn = scratch.save(active.groupBy("handle").cogroup(mail.groupBy("handle")).applyInPandas(_step(compute, params), _ROWS), f"turn{step}")
         new = turn.filter("kind = 'state'").select("handle", F.col("payload").alias("state"))

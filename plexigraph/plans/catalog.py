@@ -5,17 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clocks
 from ..functions.predicates import Pred, Relation
 from ..operators import access, local, network, ordering, paths, phrases, placement, star, vertex
 from ..operators.traverse import Traversal
 from ..scratch import importable, shared_dir
-from ..sources import binding as b
+from ..sources import binding as b, files
 from ..sources.files import clean_edges
 from ..store import Store
-from ..streaming.ingest import degrees
+from ..streaming.ingest import degrees, windowed_writes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,6 +413,153 @@ def stream_degrees(spark, sf_dir):
     return rows.groupBy("src").agg(F.max("degree").alias("degree"))
 
 
+# -- files ----------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT n_nationkey AS nationkey, n_name AS name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def graphml_load(spark, sf_dir):
+    """Nations and regions written as GraphML and loaded back."""
+    n, r = b.table(spark, sf_dir, "nation"), b.table(spark, sf_dir, "region")
+    node = lambda df, letter, key, name: df.select(F.format_string('<node id="%s%d"><data key="name">%s</data></node>', F.lit(letter), key, name).alias("value"))
+    edges = n.select(F.format_string('<edge source="N%d" target="R%d"><data key="type">in</data></edge>', "n_nationkey", "n_regionkey").alias("value"))
+    path = _scratch(spark, "graphml")
+    lines = node(n, "N", "n_nationkey", "n_name").union(node(r, "R", "r_regionkey", "r_name")).union(edges)
+    # one document with one root; the two tables have a fixed, small size
+    body = F.array_join(F.sort_array(F.collect_list("value")), "\n")
+    lines.agg(F.concat(F.lit("<graphml><graph>\n"), body, F.lit("\n</graph></graphml>")).alias("value")).write.text(path)
+    snap = files.load(spark, path, "graphml").at(1)
+    name = snap.nodes.properties(keys=["name"]).select("handle", "value")
+    e = snap.edges_with({"type": "in"})
+    a, z = name.withColumnsRenamed({"handle": "src", "value": "name"}), name.withColumnsRenamed({"handle": "dst", "value": "region"})
+    return e.join(a, "src").join(z, "dst").select(b.key_of("src").alias("nationkey"), "name", "region")
+
+
+@query(f"""WITH {USERS_SQL} SELECT src, dst FROM u""")
+def snap_load(spark, sf_dir):
+    """The user pairs as an edge list with a comment, loaded back."""
+    path = _scratch(spark, "snap")
+    pairs = b.user_pairs(spark, sf_dir)
+    lines = pairs.select(F.concat_ws("\t", "src", "dst").alias("value"))
+    lines.union(spark.createDataFrame([("# a comment",)], "value string")).write.text(path)
+    return files.load(spark, path, "snap").at(1).edges.rows.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+
+
+@query(f"""WITH {USERS_SQL} SELECT src, dst, CAST(1 + (src * 7 + dst * 13) % 20 AS VARCHAR) AS weight FROM u""")
+def property_edge_load(spark, sf_dir):
+    """The weighted user pairs as ``u v weight w`` lines, loaded back."""
+    path = _scratch(spark, "pairs")
+    b.user_pairs(spark, sf_dir).select(F.concat_ws(" ", "src", "dst", F.lit("weight"), 1 + (F.col("src") * 7 + F.col("dst") * 13) % 20).alias("value")).write.text(path)
+    snap = files.load(spark, path, "property_edges").at(1)
+    return snap.edges.rows.join(snap.edges.value("weight"), "handle").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.col("value").alias("weight"))
+
+
+@query("""SELECT o_custkey AS custkey, count(*) AS n FROM orders GROUP BY 1""")
+def bulk_load(spark, sf_dir):
+    """The sales graph written in hash buckets and read back."""
+    path = _scratch(spark, "bulk")
+    files.write_graph(b.sales_graph(spark, sf_dir), path, buckets=8)
+    rows = spark.read.parquet(f"{path}/edges").filter("type = 'placed'")
+    return rows.groupBy(b.key_of("src").alias("custkey")).agg(F.count("*").alias("n"))
+
+
+# -- single values and pairs ---------------------------------------------------------------------------
+
+
+@query(f"""WITH {USERS_SQL} SELECT src, dst, 'weight' AS key, CAST(1 + (src * 7 + dst * 13) % 20 AS VARCHAR) AS value FROM u""")
+def edge_props_read(spark, sf_dir):
+    snap = _users(spark, sf_dir)
+    found = access.edge_props(snap, keys=["weight"]).select("handle", "key", "value")
+    return found.join(snap.edges.rows.select("handle", "src", "dst"), "handle").select(b.key_of("src").alias("src"), b.key_of("dst").alias("dst"), "key", "value")
+
+
+@query("""SELECT 'C' AS kind, c_custkey AS id, '' AS brand FROM customer UNION ALL SELECT 'O', o_orderkey, '' FROM orders UNION ALL SELECT 'P', p_partkey, p_brand FROM part""")
+def scalar_property(spark, sf_dir):
+    """A property of every node, the empty string where there is none."""
+    return _sales(spark, sf_dir).nodes.value("brand").select(F.substring("handle", 1, 1).alias("kind"), b.key_of("handle").alias("id"), F.col("value").alias("brand"))
+
+
+@query("""SELECT event_id, event_id IN (SELECT o_orderkey FROM orders) AS there FROM events""")
+def edge_exists(spark, sf_dir):
+    asked = b.table(spark, sf_dir, "events").select(F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("handle"))
+    return access.edge_exists(_sales(spark, sf_dir), asked).select(b.key_of("handle").alias("event_id"), F.col("exists").alias("there"))
+
+
+@query(f"""WITH RECURSIVE {USERS_SQL}, r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN s ON node = src WHERE hops < 12)
+SELECT count(*) > 0 AS reachable, min(hops) AS hops FROM r WHERE node = 5""")
+def reach_path(spark, sf_dir):
+    return paths.reach(_users(spark, sf_dir, True), "U0", "U5").select("reachable", "hops")
+
+
+@query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst, 1 + (src * 7 + dst * 13) % 20 AS w FROM u),
+r(node, cost) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, cost + w FROM r JOIN e ON node = src WHERE cost + w <= 40)
+SELECT coalesce(min(cost), 0) AS cost FROM r WHERE node = 5""")
+def shortest_path(spark, sf_dir):
+    return paths.weighted_path(_users(spark, sf_dir), "U0", "U5", "weight").select("cost")
+
+
+@query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst, 1 + (src * 7 + dst * 13) % 20 AS w FROM u),
+r(node, cost) AS (SELECT CAST(0 AS BIGINT), CAST(21 AS BIGINT) UNION SELECT dst, least(cost, w) FROM r JOIN e ON node = src)
+SELECT max(cost) AS cost FROM r WHERE node = 5""")
+def widest_path(spark, sf_dir):
+    return paths.weighted_path(_users(spark, sf_dir), "U0", "U5", "weight", widest=True).select("cost")
+
+
+@query("""SELECT o_orderkey AS orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS consumed FROM orders""")
+def star_tx(spark, sf_dir):
+    """Orders as transactions: each is consumed by the customer's next one."""
+    o = b.table(spark, sf_dir, "orders")
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    always = [F.lit(0).cast("bigint").alias("created_v"), F.lit(None).cast("bigint").alias("deleted_v")]
+    nodes = o.select(b.handle("O", "o_orderkey").alias("handle"), *always).union(b.table(spark, sf_dir, "customer").select(b.handle("C", "c_custkey"), *always))
+    key = F.col("o_orderkey").cast("string")
+    out = o.select(F.concat(F.lit(star.TX_OUT), key).alias("handle"), b.handle("O", "o_orderkey").alias("src"), b.handle("C", "o_custkey").alias("dst"), *always)
+    spent = o.withColumn("next", after).filter("next is not null").select(F.concat(F.lit(star.CONSUMED_BY), key), b.handle("O", "o_orderkey"), b.handle("O", "next"), *always)
+    snap = b.Graph(b.Elements(nodes), b.Elements(out.union(spent)), None, True).at(1)
+    rows = star.get_tx(snap).filter(F.col("handle").startswith(star.TX_OUT))
+    return rows.select(b.key_of("src").alias("orderkey"), b.key_of("consumed").alias("consumed"))
+
+
+@query(f"""WITH c AS (SELECT {_CLOCK} AS c FROM events) SELECT [min(c[1]), min(c[2]), min(c[3])] AS clock FROM c""")
+def vclock_floor(spark, sf_dir):
+    return clocks.floor(_clocks(spark, sf_dir))
+
+
+def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = b.table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.array((F.col("event_id") % 2).cast("bigint"), (F.col("user_id") % 5).cast("bigint"), (F.floor("value") % 4).cast("bigint")).alias("clock"))
+
+
+@query(f"""WITH c AS (SELECT event_id, user_id % 2 AS owner, {_CLOCK} AS c FROM events), n AS (
+SELECT event_id AS src, lead(event_id) OVER (PARTITION BY owner, c[1] ORDER BY c[owner + 2], event_id) AS dst FROM c) SELECT * FROM n WHERE dst IS NOT NULL""")
+def event_chain(spark, sf_dir):
+    """Each event before the next of its clock owner and epoch."""
+    return ordering.chain_events(_clocks(spark, sf_dir).withColumn("owner", (F.col("user_id") % 2).cast("int")))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type AS op, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_windows(spark, sf_dir):
+    """Events as a stream, counted by hour and type as the watermark passes; a last late row closes all windows."""
+    static = b.table(spark, sf_dir, "events")
+    out = _scratch(spark, "windows")
+    closing = static.orderBy("ts").limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 YEARS")).withColumn("event_type", F.lit("end"))
+
+    def drain(source: DataFrame) -> None:
+        run = windowed_writes(source, "ts", "1 hour", "0 seconds").writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    copy = f"{out}/in"
+    static.write.parquet(copy)
+    stream = spark.readStream.schema(static.schema).parquet(copy).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op"))
+    drain(stream)
+    closing.write.mode("append").parquet(copy)
+    drain(stream)
+    return spark.read.parquet(f"{out}/rows").filter("op != 'end'").select(F.col("start").cast("timestamp_ntz").alias("start"), "op", "n")
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for the stream source: the table itself if it is one, else a copy in the shared folder."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs

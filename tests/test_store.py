@@ -199,6 +199,9 @@ def test_vertex_program(spark):
     assert program == registry.register(_flood) and len(program) == 64
     rows = {r["handle"]: json.loads(r["payload"]) for r in registry.run(program, snap, [("a", 0)]).collect()}
     assert rows == {"a": 0, "b": 1, "c": 1}
+    traffic = []
+    vertex.run_program(snap, _flood, [("a", 0)], traffic=traffic)
+    assert [sorted(tuple(r) for r in t.collect()) for t in traffic] == [[("a", 1)], [("b", 1), ("c", 1)], [("c", 1)]]
     with pytest.raises(NotFoundError):
         registry.run("none", snap, [])
 
