@@ -35,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come near their target shares: documents are drawn, or taken up to three times."""
     ship(spark)
-    return mixing.take(docs, mixing.pareto_mix(docs))
+    return mixing.take(docs, mixing.fit_mix(docs))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

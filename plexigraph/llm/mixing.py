@@ -20,9 +20,11 @@ meet in one window.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Stash, stash
+from .common import stash
 
 #: Words, as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 FINE = 1024
 #: No document is taken more often.
 MOST = 3
+#: Sources up to which the tables of a row per source are broadcast.
+SMALL = 100_000
 
 
 def words(text: Column) -> Column:
@@ -63,7 +67,56 @@ def water_fill(sources: DataFrame) -> DataFrame:
     return leveled.withColumn("at", first).withColumn("target", F.when(F.col("at").isNull(), (F.col("size") * MOST).cast("double")).otherwise(F.col("weight") * F.col("at"))).drop("level", "at")
 
 
-def pareto_mix(
+def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: int, *more: Column) -> DataFrame:
+    """(id, key, source, size, w, u) of every document, and ``more``."""
+    own = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), own.alias("w"), *more)
+    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("key", F.lit("")))
+    return rows.withColumn("u", uniform(key, seed))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of a row per source: broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _score(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds copies expected, their whole part, the inclusion probability and the place in the ranking."""
+    expected = F.least(F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted") * F.col("w")).otherwise(0.0), F.lit(float(MOST)))
+    q = (F.col("u") / (1 - F.col("u"))) / (F.col("lam") / (1 - F.col("lam")))
+    return (
+        rows.join(sources, F.col("source").eqNullSafe(F.col("s")))
+        .withColumn("expected", expected)
+        .withColumn("base", F.floor("expected"))
+        .withColumn("lam", F.col("expected") - F.col("base"))
+        .withColumn("p", F.when(F.col("lam") > 0, q / (1 + q)))
+        .withColumn("b", F.least(F.floor(F.col("p") * (FINE * FINE)), F.lit(FINE * FINE - 1)))
+        .withColumn("rank", F.struct("p", "id", "key", "size"))
+    )
+
+
+@dataclass(frozen=True)
+class Mix:
+    """What decides about a document: a row per source in each table, and the columns read."""
+
+    slim: DataFrame
+    sources: DataFrame  # s, source_size, target, weighted
+    ends: DataFrame  # s, b: the bucket in which the target is reached, and the last rank taken in it; gap
+    closers: DataFrame  # s, close: the rank of the closing document
+    columns: tuple[str, str, str, str | None, int]
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """Adds ``copies`` to rows that :func:`_slim` made."""
+        d = _score(rows, _few(self.sources))
+        taken = F.coalesce((F.col("b") < F.col("b3")) | ((F.col("b") == F.col("b3")) & (F.col("rank") <= F.col("upto"))), F.lit(False))
+        # a source whose need is never reached takes all that may be taken
+        pick = F.when(F.col("p").isNull(), False).when(F.col("b3").isNull(), True).otherwise(taken)
+        marked = d.join(_few(self.ends), F.col("s").eqNullSafe(F.col("s3")), "left").withColumn("pick", pick)
+        full = marked.join(_few(self.closers), F.col("s").eqNullSafe(F.col("s4")), "left").withColumn("pick", F.col("pick") | F.coalesce(F.col("rank") == F.col("close"), F.lit(False)))
+        return full.withColumn("copies", (F.col("base") + F.col("pick").cast("long")).cast("int"))
+
+
+def fit_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -71,39 +124,22 @@ def pareto_mix(
     weights: tuple[int, ...] = (1, 2, 3),
     weight_col: str | None = None,
     seed: int = 42,
-) -> DataFrame:
-    """(id, key, source, size, source_size, target, copies), one row per document.
+) -> Mix:
+    """Targets and thresholds for a corpus.
 
-    ``key`` is md5 of the text (null for null), so that (id, key) finds the document again.
     Sources in code point order, null last, weigh ``weights``, repeating.
     ``weight_col`` makes documents of a source unequally likely; null and
     negative weights count as zero.  Documents of equal id and text, which no
     rule can tell apart, are taken or left together.  Null texts have size 0 and
-    are free to take.  An empty table gives no rows.
+    are free to take.
     """
-    own = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("key", F.lit("")))
-    slim = stash(
-        docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), own.alias("w")).withColumn("u", uniform(key, seed)),
-        "mix-slim",
-    )
+    columns = (id_col, text_col, source_col, weight_col, seed)
+    slim = stash(_slim(docs, *columns), "mix-slim")
     sums = slim.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.col("w") * F.col("size")).alias("weighted"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     share = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    sources = Stash(water_fill(sums.withColumn("weight", share)).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", "weighted"), "mix-sources").df
-
-    expected = F.least(F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted") * F.col("w")).otherwise(0.0), F.lit(float(MOST)))
-    lam = F.col("copies") - F.col("base")
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("lam") / (1 - F.col("lam")))
-    d = (
-        slim.join(sources, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", expected)
-        .withColumn("base", F.floor("copies"))
-        .withColumn("lam", lam)
-        .withColumn("p", F.when(F.col("lam") > 0, q / (1 + q)))
-        .withColumn("b", F.least(F.floor(F.col("p") * (FINE * FINE)), F.lit(FINE * FINE - 1)))
-        .withColumn("rank", F.struct("p", "id", "key", "size"))
-    )
+    sources = stash(water_fill(sums.withColumn("weight", share)).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", "weighted"), "mix-sources")
+    d = _score(slim, _few(sources))
     need = d.groupBy("s").agg((F.first("target") - F.sum(F.col("base") * F.col("size"))).alias("need"))
     drawn = d.filter("p is not null")
 
@@ -119,31 +155,41 @@ def pareto_mix(
     at1 = level1.select(F.col("s").alias("s1"), F.col("c").alias("c1"), F.col("need").alias("need1"))
     in1 = drawn.join(at1, F.col("s").eqNullSafe(F.col("s1")) & (F.floor(F.col("b") / FINE) == F.col("c1")))
     start2 = level1.select("s", "need")
-    at2 = Stash(crossing(in1.groupBy("s", "b").agg(F.sum("size").alias("n")), "b", start2).select(F.col("s").alias("s2"), F.col("b").alias("b2"), F.col("need").alias("need2")), "mix-at").df
+    at2 = stash(crossing(in1.groupBy("s", "b").agg(F.sum("size").alias("n")), "b", start2).select(F.col("s").alias("s2"), F.col("b").alias("b2"), F.col("need").alias("need2")), "mix-at")
     # the rows of the last bucket, equal ones together
-    last = drawn.join(at2, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).groupBy("s2", "b2", "need2", "rank").agg(F.sum("size").alias("n"))
+    last = drawn.join(_few(at2), F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).groupBy("s2", "b2", "need2", "rank").agg(F.sum("size").alias("n"))
     front = last.withColumn("upto", F.sum("n").over(Window.partitionBy("s2").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))).withColumn("in", F.col("upto") <= F.col("need2"))
     ends = front.groupBy("s2", "b2").agg(F.max(F.when(F.col("in"), F.col("rank"))).alias("upto"), (F.first("need2") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))), F.lit(0))).alias("gap"))
-    ends = Stash(ends.select(F.col("s2").alias("s3"), F.col("b2").alias("b3"), "upto", "gap"), "mix-ends").df
-    taken = F.coalesce((F.col("b") < F.col("b3")) | ((F.col("b") == F.col("b3")) & (F.col("rank") <= F.col("upto"))), F.lit(False))
-    # a source whose need is never reached takes all that may be taken
-    marked = d.join(ends, F.col("s").eqNullSafe(F.col("s3")), "left").withColumn("pick", F.when(F.col("p").isNull(), False).when(F.col("b3").isNull(), True).otherwise(taken))
+    ends = stash(ends.select(F.col("s2").alias("s3"), F.col("b2").alias("b3"), "upto", "gap"), "mix-ends")
+    none = ends.limit(0).select(F.col("s3").alias("s4"), F.col("upto").alias("close"))
+    marked = Mix(slim, sources, ends, none, columns).decide(slim).filter("p is not null and not pick and size > 0")
     off = F.abs(F.col("size") - F.col("gap"))
-    closing = marked.filter("p is not null and not pick and size > 0").filter(off < F.col("gap")).groupBy("s3").agg(F.min(F.struct(off.alias("off"), "rank")).alias("least"))
+    closing = marked.filter(off < F.col("gap")).groupBy("s3").agg(F.min(F.struct(off.alias("off"), "rank")).alias("least"))
     closing = closing.select(F.col("s3").alias("s4"), F.col("least.rank").alias("close"))
     # of a closing document that is there more than once, all rows would come: only if that too comes nearer
     rows = drawn.join(closing, F.col("s").eqNullSafe(F.col("s4")) & (F.col("rank") == F.col("close"))).groupBy("s4", "close").agg(F.sum("size").alias("n"))
-    rows = rows.join(ends, F.col("s4").eqNullSafe(F.col("s3"))).filter(F.abs(F.col("n") - F.col("gap")) < F.col("gap")).select("s4", "close")
-    closers = Stash(rows, "mix-close").df
-    full = marked.join(closers, F.col("s").eqNullSafe(F.col("s4")), "left").withColumn("pick", F.col("pick") | F.coalesce(F.col("rank") == F.col("close"), F.lit(False)))
-    return full.select("id", "key", "source", "size", "source_size", "target", (F.col("base") + F.col("pick").cast("long")).cast("int").alias("copies"))
+    rows = rows.join(_few(ends), F.col("s4").eqNullSafe(F.col("s3"))).filter(F.abs(F.col("n") - F.col("gap")) < F.col("gap")).select("s4", "close")
+    return Mix(slim, sources, ends, stash(rows, "mix-close"), columns)
+
 
+def pareto_mix(docs: DataFrame, **options) -> DataFrame:
+    """(id, key, source, size, source_size, target, copies), one row per document.
 
-def take(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    per = mix.filter("copies > 0").groupBy("id", "key").agg(F.max("copies").alias("__copies")).withColumnsRenamed({"id": "__id", "key": "__key"})
-    joined = docs.join(per, F.col(id_col).eqNullSafe(F.col("__id")) & F.md5(F.col(text_col)).eqNullSafe(F.col("__key")))
-    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ``key`` is md5 of the text (null for null), so that (id, key) finds the document again.
+    Options are those of :func:`fit_mix`.  An empty table gives no rows.
+    """
+    mix = fit_mix(docs, **options)
+    return mix.decide(mix.slim).select("id", "key", "source", "size", "source_size", "target", "copies")
+
+
+def take(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+
+    Every row decides for itself from its source's thresholds, so no text is shuffled.
+    """
+    rows = mix.decide(_slim(docs, *mix.columns, F.struct("*").alias("doc")))
+    each = rows.filter("copies > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select("doc.*")
 
 
 #: The result of op1 in DuckDB's SQL: the same ranking as one window per source.

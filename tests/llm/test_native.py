@@ -65,8 +65,8 @@ def test_mix(spark, seed):
 
 def test_mix_is_unequal_where_weights_are(spark):
     rows = [(i, "word " * 10, "s" if i % 2 else "t") for i in range(2000)]
-    docs = frame(spark, rows).withColumn("w", F.when(F.col("doc_id") % 4 < 2, 3.0).otherwise(1.0))
-    got = mixing.pareto_mix(docs, weight_col="w").filter("source = 's'").collect()
+    docs = frame(spark, rows).withColumn("weight", F.when(F.col("doc_id") % 4 < 2, 3.0).otherwise(1.0))
+    got = mixing.pareto_mix(docs, weight_col="weight").filter("source = 's'").collect()
     heavy = [r["copies"] for r in got if r["id"] % 4 < 2]
     light = [r["copies"] for r in got if r["id"] % 4 >= 2]
     assert sum(heavy) / len(heavy) == pytest.approx(3 * sum(light) / len(light), rel=0.15)
@@ -78,10 +78,9 @@ def test_mix_edges(spark):
     twice = mixed(spark, [(1, "a b", "s")] * 3 + [(2, "c", "t")])
     assert len(twice) == 4 and len({r["copies"] for r in twice if r["id"] == 1}) == 1
     clash = frame(spark, [(1, "a b c", "s"), (2, "x", "t")]).withColumn("size", F.lit("x")).withColumn("copies", F.lit(9)).withColumn("key", F.lit(0))
-    mix = mixing.pareto_mix(clash)
-    back = mixing.take(clash, mix)
+    back = mixing.take(clash, mixing.fit_mix(clash))
     assert back.columns == clash.columns
-    assert back.count() == sum(r["copies"] for r in mix.collect())
+    assert back.count() == sum(r["copies"] for r in mixing.pareto_mix(clash).collect())
     long = mixed(spark, [(1, "w " * 300_000, "s"), (2, "w", "t")])
     assert {r["id"]: r["size"] for r in long} == {1: 300_000, 2: 1}
 
