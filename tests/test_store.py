@@ -297,3 +297,35 @@ def test_batch_and_bulk_load(spark, tmp_path):
     store.load(graph_of(spark, ["a", "b"], [("e", "a", "b")], [("a", "k", "1"), ("a", "k", "2")], [("e", "w", "3")], [("al", "a")]))
     assert store.at().nodes.having({"k": ["1", "2"]}).count() == 1
     assert store.at().aliases.count() == 1 and store.at(0).nodes.rows.count() == 0
+
+
+def test_client_programs(spark, tmp_path):
+    """Every program through the client, on one bulk-loaded graph."""
+    client = Client(spark, tmp_path.as_uri() + "/s")
+    nodes = ["a", "b", "c", "d", "B", "t0"]
+    edges = [("ab", "a", "b"), ("bc", "b", "c"), ("ac", "a", "c"), ("cd", "c", "d"), ("BLOCK_TX_0", "B", "t0"), ("TXOUT_x", "t0", "a"), ("CTX_x", "t0", "b"), ("the,end,0", "a", "d")]
+    props = [("ab", "w", "1"), ("bc", "w", "1"), ("ac", "w", "5"), ("cd", "w", "2"), ("the,end,0", "locs", "(7, 1999, [1])"), ("ab", "c", "0.9"), ("bc", "c", "0.9"), ("ac", "c", "0.2"), ("cd", "c", "0.9")]
+    client.store.load(graph_of(spark, nodes, edges, [("d", "name", "last"), ("c", "name", "third")], props, [("first", "a")]))
+    assert client.reach("a", "d")["path"] == ["d", "a"] and client.pathless_reach("a", "d")
+    assert client.n_hop_reach("a", "c", 0)["reachable"] is False and client.reach("b", "d")["hops"] == 2
+    assert client.shortest_path("a", "d", "w") == {"cost": 4, "path": ["a", "b", "c", "d"]}
+    assert client.widest_path("a", "c", "w")["cost"] == 5
+    assert client.clustering("a") == pytest.approx(2 / 6) and client.clustering("d") == 0
+    assert client.two_neighborhood("first", "name") == [("c", "third"), ("d", "last")]
+    dag = client.discover_paths("a", "d", path_len=3, edge_preds=[("c", "0.9")])
+    found = client.enumerate_paths(dag, "a", "d", 3)
+    assert [r["path"] for r in found.collect()] == [["a", "b", "c", "d"]]
+    assert len(client.enumerate_path_vertices(found).first()["pairs"]) == 3
+    best = client.cause_and_effect("a", "d", "c", max_results=1).first()
+    assert best["path"] == ["a", "b", "c", "d"] and best["confidence"] == pytest.approx(0.729)
+    assert [r["doc"] for r in client.n_gram_path(["the", "end"]).collect()] == [7]
+    assert client.get_btc_block("B") == {"handle": "B", "txs": ["t0"], "num_nodes_read": 3}
+    assert {r["consumed"] for r in client.get_btc_tx("t0").collect()} == {"b", None}
+    assert client.get_btc_addr("a").count() == 3
+    assert client.traverse_props("a", [None, None], [{"w": "1"}]).first()["handle"] == "b"
+    assert sorted(r["handle"] for r in client.get_edges("a", nbrs=["b", "c"]).collect()) == ["ab", "ac"]
+    assert client.read_edges_props("a", ["w"]).count() == 2 and client.get_node_edges("d") == []
+    assert client.get_node_aliases("a") == ["first"]
+    program = client.register_node_prog(_flood)
+    assert client.run_node_prog(program, [("a", 0)]).count() == 4
+    assert client.single_stream_migration(2).count() == 6 and client.aux_index
