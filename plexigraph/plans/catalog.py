@@ -435,7 +435,7 @@ def graphml_load(spark, sf_dir):
     name = snap.nodes.properties(keys=["name"]).select("handle", "value")
     e = snap.edges_with({"type": "in"})
     a, z = name.withColumnsRenamed({"handle": "src", "value": "name"}), name.withColumnsRenamed({"handle": "dst", "value": "region"})
-    return e.join(a, "src").join(z, "dst").select(b.key_of("src").alias("nationkey"), "name", "region")
+    return e.join(a, "src").join(z, "dst").select(b.key_of("src").cast("int").alias("nationkey"), "name", "region")
 
 
 @query(f"""WITH {USERS_SQL} SELECT src, dst FROM u""")
