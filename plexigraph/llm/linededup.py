@@ -73,11 +73,12 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = Stash(counts, "lines-twice")
     candidates = Stash(hashed.join(_small(twice.df), "h", "left_semi").select("id", "key", "at", "h", "body"), "lines-candidates")
     place = F.struct(F.col("id"), F.col("key"), F.col("at"))
-    first = candidates.df.groupBy("h", "body").agg(F.min(place).alias("first"))
-    later = candidates.df.join(first, ["h", "body"]).filter(~place.eqNullSafe(F.col("first")))
+    # written first, so that the join has plain exchanges on both sides and a hot chunk can be split
+    first = Stash(candidates.df.groupBy("h", "body").agg(F.min(place).alias("first")), "lines-first")
+    later = candidates.df.join(first.df, ["h", "body"]).filter(~place.eqNullSafe(F.col("first")))
     removed = stash(later.groupBy("id", "key").agg(F.sort_array(F.collect_set("at")).alias("removed")), "lines-removed")
-    candidates.drop()
-    twice.drop()
+    for done in (candidates, twice, first):
+        done.drop()
     return removed
 
 
