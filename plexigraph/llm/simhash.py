@@ -395,9 +395,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     edges = link_forest(distinct.df, choose_plan(n, both, max_bits), max_bits, most)
     comp = components(edges)
     rooted = distinct.df.join(comp, distinct.df["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stash(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-classes")
-    distinct.drop()
+    rooted = Stash(rooted, "simhash-rooted")
+    # written first, so that the join has plain exchanges on both sides and a hot root can be split
+    ids = Stash(rooted.df.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
+    classes = stash(rooted.df.join(ids.df, "root").select("fp", "root", "component_id"), "simhash-classes")
+    for done in (distinct, rooted, ids):
+        done.drop()
     return each.join(classes, "fp").select("id", "key", "fp", "root", "component_id")
 
 
