@@ -35,11 +35,11 @@ from .common import Stash, column, raw_texts, stash
 
 BITS = 64
 #: Most members that one verification block holds.
-BLOCK = 4096
+BLOCK = 16_384
 #: Rows up to which the table of ids to drop is broadcast.
 SMALL = 200_000
 #: Relative costs, in microseconds, of one shuffled probe and one comparison.
-PROBE_COST, COMPARE_COST = 10.0, 0.003
+PROBE_COST, COMPARE_COST = 5.0, 0.001
 
 
 # -- fingerprints ------------------------------------------------------------
@@ -419,7 +419,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 10, similar: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 13, similar: float = 0.8) -> DataFrame:
     """``docs``, all columns, with one document of each near-duplicate group.
 
     That of least id stays (null last), of several rows with that id the one whose text has the

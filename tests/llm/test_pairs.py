@@ -84,7 +84,7 @@ def test_every_plan_finds_every_link():
     rng = np.random.default_rng(1)
     both = np.full((64, 64), 250)
     np.fill_diagonal(both, 500)
-    plans = {simhash.choose_plan(n, both * n // 1000, bits) for n in (1000, 10**6, 10**8, 10**10) for bits in (4, 10)}
+    plans = {simhash.choose_plan(n, both * n // 1000, bits) for n in (1000, 10**6, 10**8, 10**10) for bits in (4, 10, 13)}
     assert any(len(set(p.radii)) > 1 for p in plans)
     for plan in plans:
         if plan.rows() > 500:
