@@ -22,7 +22,7 @@ from .common import Stash, column, stash
 
 #: Tables, probes in each (by parts), and the vectors a bucket should hold.  On independent
 #: normal vectors of 64 dimensions, the hardest case, these probes find 0.99 of the five
-#: nearest with one part and 0.95 or more with two.
+#: nearest with one part and 0.98 with two (of 51,282 vectors).
 TABLES, PROBES, OCCUPANCY = 12, {1: 10, 2: 256}, 4096
 #: Axes that a probe may take in each part, with more than one.
 AXES = 16
