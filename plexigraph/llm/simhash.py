@@ -360,13 +360,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014): each
     round is two map-side-combined minima and two joins that can be split where
     a node is hot; the number of rounds grows with the logarithm of the path length.
-    Every round's edges are written to the shared folder and the round before is
-    deleted.
+    Every round's edges, and the minima before they are joined, are written to the
+    shared folder; those of the round before are deleted.
     """
+    minima: list[Stash] = []
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        minima.append(Stash(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "cc-min"))
+        least = minima[-1].df
         joined = both.join(least, "a")
         if large:
             moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -378,8 +380,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = Stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "cc")
     seen = mark(now.df)
     for _ in range(most_rounds):
-        new = Stash(star(star(now.df, True), False), "cc")
-        now.drop()
+        large = Stash(star(now.df, True), "cc")
+        new = Stash(star(large.df, False), "cc")
+        for done in (now, large, *minima):
+            done.drop()
+        minima.clear()
         now, was, seen = new, seen, mark(new.df)
         if seen == was:
             return now.df.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.df.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
