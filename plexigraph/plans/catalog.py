@@ -560,6 +560,71 @@ def stream_windows(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").filter("op != 'end'").select(F.col("start").cast("timestamp_ntz").alias("start"), "op", "n")
 
 
+# -- the whole user graph --------------------------------------------------------------------
+# The queries above that read the sparse pairs (s), over all pairs (u): their own SQL with s taken
+# to be all of u.  Only the length of listed paths is bounded.
+
+
+def _whole(name: str) -> str:
+    return ORACLES[name].replace(" WHERE (src * 31 + dst * 17 + 5) % 23 < 2", "")
+
+
+@query(_whole("reach_set"))
+def reach_set_whole(spark, sf_dir):
+    return paths.reach_set(_users(spark, sf_dir), b.one(spark, "U0")).select(b.key_of("handle").alias("user_id"))
+
+
+@query(_whole("n_hop_set"))
+def n_hop_set_whole(spark, sf_dir):
+    return paths.reach_set(_users(spark, sf_dir), b.one(spark, "U0"), max_hops=3).select(b.key_of("handle").alias("user_id"), "hops")
+
+
+@query(_whole("discover_dag"))
+def discover_dag_whole(spark, sf_dir):
+    found = paths.discover_paths(_users(spark, sf_dir), "U0", "U5", 6)
+    return found.select(b.key_of("src").alias("src"), b.key_of("dst").alias("dst"))
+
+
+#: Edges of the paths that are listed over the whole graph: their number grows as the degree to this power.
+WHOLE_LEN = 4
+
+
+@query(_whole("enumerate_paths").replace("hops < 6", f"hops < {WHOLE_LEN}").replace("<= 6", f"<= {WHOLE_LEN}"))
+def enumerate_paths_whole(spark, sf_dir):
+    dag = paths.discover_paths(_users(spark, sf_dir), "U0", "U5", WHOLE_LEN)
+    found = paths.enumerate_paths(dag, "U0", "U5", WHOLE_LEN)
+    return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"))
+
+
+# products of four confidences have eight digits: rounded there, none is a tie
+@query(_whole("confidence_paths").replace("<= 6", f"<= {WHOLE_LEN}").replace("round(conf, 6)", "round(conf, 8)"))
+def confidence_paths_whole(spark, sf_dir):
+    found = paths.cause_and_effect(_users(spark, sf_dir), "U0", "U5", "confidence", 0.001, max_hops=WHOLE_LEN)
+    return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"), F.round("confidence", 8).alias("confidence"))
+
+
+@query(_whole("event_order").replace("% 150", "% (SELECT count(DISTINCT user_id) FROM events)"))
+def event_order_whole(spark, sf_dir):
+    users = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("event_id")).distinct()
+    edges = b.user_pairs(spark, sf_dir).filter("src < dst")
+    pairs = users.select(F.col("event_id").alias("a"), ((F.col("event_id") * 7 + 3) % users.count()).alias("b"))
+    return ordering.query_order(users, edges, pairs)
+
+
+@query(_whole("vertex_program_least"))
+def vertex_program_least_whole(spark, sf_dir):
+    snap = _users(spark, sf_dir)
+    starts = snap.nodes.rows.select("handle", b.key_of("handle").cast("string").alias("payload"))
+    least = lambda c: F.min(c.cast("bigint")).cast("string")
+    out = vertex.run_program(snap, _least, starts, combine=least)
+    return out.groupBy(b.key_of("handle").alias("user_id")).agg(F.min(F.col("payload").cast("bigint")).alias("least"))
+
+
+@query(_whole("reach_path"))
+def reach_path_whole(spark, sf_dir):
+    return paths.reach(_users(spark, sf_dir), "U0", "U5").select("reachable", "hops")
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for the stream source: the table itself if it is one, else a copy in the shared folder."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
