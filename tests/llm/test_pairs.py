@@ -207,6 +207,19 @@ def test_two_passages_in_a_pair_are_told_apart(spark):
     assert got == [(10, 80, 1.0), (230, 320, 1.0)]
 
 
+def test_seeds_scattered_over_earlier_documents(spark):
+    """Every seed of a passage is first held by some other, earlier document."""
+    rng = random.Random(13)
+    vocab = [f"v{i}" for i in range(5000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    passage = prose(60)
+    docs = [(i, " ".join([*prose(40), *passage[max(0, 5 * (i % 13) - 20) : 5 * (i % 13) + 20], *prose(40)])) for i in range(52)]
+    docs += [(i, " ".join([*prose(30), *passage, *prose(30)])) for i in (60, 70, 80)]
+    got = substring.repeated_passages(frame(spark, docs)).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == [(70, 30, 90), (80, 30, 90)]
+    assert all(60 <= r["other_id"] < r["doc_id"] for r in got)
+
+
 # -- neighbours ------------------------------------------------------------------------
 
 
