@@ -220,6 +220,17 @@ def test_seeds_scattered_over_earlier_documents(spark):
     assert all(60 <= r["other_id"] < r["doc_id"] for r in got)
 
 
+def test_every_occurrence_is_told(spark):
+    """A passage twice in a document, and once after a short quotation of its middle."""
+    rng = random.Random(17)
+    vocab = [f"v{i}" for i in range(5000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    passage = prose(70)
+    docs = [(1, [*prose(30), *passage, *prose(30)]), (2, [*passage, *prose(150), *passage, *prose(20)]), (3, [*passage[20:50], *prose(150), *passage])]
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in substring.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect() if r["other_id"] == 1)
+    assert got == [(2, 0, 70), (2, 220, 290), (3, 180, 250)]
+
+
 # -- neighbours ------------------------------------------------------------------------
 
 
