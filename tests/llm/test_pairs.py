@@ -231,6 +231,20 @@ def test_every_occurrence_is_told(spark):
     assert got == [(2, 0, 70), (2, 220, 290), (3, 180, 250)]
 
 
+def test_scattered_edits_are_found(spark):
+    """Passages of 60 words with 3 to 9 words changed, evenly spread: a similarity of 0.85 to 0.95."""
+    rng = random.Random(19)
+    vocab = [f"v{i}" for i in range(5000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    docs = []
+    for i in range(24):
+        passage, n = prose(60), 3 + i % 7
+        near = [f"new{i}-{k}" if k in {60 * j // n for j in range(n)} else w for k, w in enumerate(passage)]
+        docs += [(2 * i, " ".join([*prose(40), *passage, *prose(40)])), (2 * i + 1, " ".join([*prose(40), *near, *prose(40)]))]
+    got = {(r["doc_id"], r["other_id"]) for r in substring.repeated_passages(frame(spark, docs)).collect()}
+    assert got == {(2 * i + 1, 2 * i) for i in range(24)}
+
+
 # -- neighbours ------------------------------------------------------------------------
 
 
