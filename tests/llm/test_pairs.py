@@ -245,6 +245,64 @@ def test_scattered_edits_are_found(spark):
     assert got == {(2 * i + 1, 2 * i) for i in range(24)}
 
 
+def test_exact_passages_against_brute_force(spark):
+    """Every place of 50 words that stand earlier, in whatever document, is covered; documents share slices of a few passages."""
+    rng = random.Random(23)
+    vocab = [f"v{i}" for i in range(3000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    pool = [prose(rng.randrange(60, 160)) for _ in range(12)]
+    docs = []
+    for i in range(300):
+        words = prose(rng.randrange(5, 40))
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(pool)
+            n = rng.choice((14, 25, 40, 55, len(p)))
+            at = rng.randrange(max(1, len(p) - n + 1))
+            words += p[at : at + n] + prose(rng.randrange(5, 40))
+        docs.append((i, words))
+    first, need = {}, {}
+    for i, w in docs:
+        for j in range(len(w) - 49):
+            if first.setdefault(hash(tuple(w[j : j + 50])), (i, j)) != (i, j):
+                need.setdefault(i, set()).update(range(j, j + 50))
+    got = {}
+    rows = substring.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs]), within=True).collect()
+    text = dict(docs)
+    for r in rows:
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+        a, b = text[r["other_id"]][r["other_start"] : r["other_end"]], text[r["doc_id"]][r["start_word"] : r["end_word"]]
+        assert 2 * substring.common(np.array([hash(x) for x in a]), np.array([hash(x) for x in b])) / (len(a) + len(b)) >= 0.8 and min(len(a), len(b)) >= 50
+        assert r["other_id"] <= r["doc_id"]
+    # a passage that an earlier document's covers but for less than a seed at either end is told once
+    lost = {i: s - got.get(i, set()) for i, s in need.items()}
+    longest = max(sum(all(j + k in s for k in range(n + 1)) for n in range(50)) for s in lost.values() for j in s | {-1})
+    assert len(need) > 150 and longest < substring.K
+
+
+def test_passages_of_slices_held_between(spark):
+    """Documents between the two hold 14-word slices of the passage they share."""
+    rng = random.Random(29)
+    vocab = [f"v{i}" for i in range(5000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    passage = prose(60)
+    docs = [(1, [*prose(40), *passage, *prose(40)])] + [(i, [*prose(40), *passage[5 * (i % 11) : 5 * (i % 11) + 14], *prose(40)]) for i in range(2, 40)]
+    docs += [(50, [*prose(30), *passage, *prose(30)])]
+    early = [(-i, [*prose(40), *passage[5 * (i % 11) : 5 * (i % 11) + 14], *prose(40)]) for i in range(2, 40)]
+    got = substring.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in early + docs])).collect()
+    assert [(r["doc_id"], r["other_id"], r["start_word"], r["end_word"]) for r in got] == [(50, 1, 30, 90)]
+
+
+def test_repeats_inside_one_document(spark):
+    rng = random.Random(31)
+    vocab = [f"v{i}" for i in range(5000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    passage, refrain = prose(60), prose(7)
+    docs = frame(spark, [(2, " ".join([*prose(40), *passage, *prose(100), *passage])), (3, " ".join(refrain * 9)), (4, " ".join([*prose(40), *refrain, *prose(90), *refrain]))])
+    got = sorted((r["doc_id"], r["other_id"], r["start_word"], r["end_word"], r["other_start"]) for r in substring.repeated_passages(docs, within=True).collect())
+    assert got[0] == (2, 2, 200, 260, 40) and {r[:2] for r in got[1:]} <= {(3, 3)}
+    assert substring.repeated_passages(docs).count() == 0
+
+
 # -- neighbours ------------------------------------------------------------------------
 
 
