@@ -372,14 +372,43 @@ def test_hadamard():
     assert np.allclose((y * y).sum(1), (x * x).sum(1))
 
 
-@pytest.mark.parametrize(("occupancy", "least"), [(4096, 0.95), (8, 0.85)])
-def test_recall_against_brute_force(spark, monkeypatch, occupancy, least):
-    """The embeddings table, as the rule has it (one hash a table), and forced to two.
+def test_parallel_vectors_tie_by_id(spark):
+    """Forty unequal vectors of one direction all score the same."""
+    rng = np.random.default_rng(5)
+    v = [float(x) for x in rng.integers(1, 9, 8)]
+    rows = [(100 - i, [x * 2.0**i for x in v], 0) for i in range(40)] + [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(1, 40)]
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(vectors(spark, rows), every=100).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [61, 62, 63, 64, 65] and len({x for _, x in got}) == 1 and got[0][1] == pytest.approx(1.0)
+
 
-    Two hashes a table are meant for half a million vectors and more, where the nearest are
-    nearer; on these 2,000 they find 0.885 (0.81 with 128 probes), on 51,282 of the same kind
-    0.93 with 128 probes.
-    """
+def test_whole_numbers_are_scored_as_doubles(spark):
+    """Components beyond 2 ** 24, which float32 would round together."""
+    ship(spark)
+    big = (1 << 24) + 1
+    rows = spark.createDataFrame([(0, [big, 1]), (2, [big - 1, 1]), (1, [big + 1, 1]), (3, [0, 1])], "vec_id long, embedding array<long>")
+    want = [float(ann.cosine(np.array([[big, 1.0]]), np.array([[x, 1.0]]))[0]) for x in (big + 1, big - 1)]
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(rows, every=50).collect()}
+    assert (got[1], got[2]) == tuple(want) and len(got) == 3
+
+
+def test_shapes_and_probes():
+    """About OCCUPANCY vectors a bucket at any size, probes by no more than the root or so of the buckets."""
+    for n in (1, 2_000, 51_282, 600_000, 10**8, 10**10):
+        axes = ann.shape_of(n, 64)
+        b = np.prod([2.0 * a for a in axes])
+        assert b == 128 or 0.7 < n / b / ann.OCCUPANCY < 1.5
+        assert ann.probes_of(axes) <= b
+    x = ann._unit(np.random.default_rng(2).normal(size=(5, 16)))
+    for axes in ((16,), (16, 2), (16, 16, 4)):
+        size = int(np.prod([2 * a for a in axes]))
+        every = ann.buckets(x, 3, axes, size, 42)
+        assert (np.sort(every, axis=1) == np.arange(size)).all()
+        assert (ann.buckets(x, 3, axes, 7, 42) == every[:, :7]).all()
+
+
+@pytest.mark.parametrize(("occupancy", "least"), [(128, 0.95), (4, 0.9)])
+def test_recall_against_brute_force(spark, monkeypatch, occupancy, least):
+    """The embeddings table, as the rule has it (one hash a table), and forced to two."""
     monkeypatch.setattr(ann, "OCCUPANCY", occupancy)
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.collect()
