@@ -17,6 +17,11 @@
    fingerprints share is split into chunks and every pair of chunks is verified by a
    task of its own.
 5. Connected components of the forest edges give the classes.
+
+Bits alone do not tell a similarity: of texts that share 0.8 of their shingles, 64 bits differ
+in 10 on average, and searching that far means comparing a good part of all pairs.
+:func:`keep_one` therefore searches several independent fingerprints, each to a small
+radius, and measures the shared shingles of every edge that they give.
 """
 
 from __future__ import annotations
@@ -31,13 +36,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Stash, column, raw_texts, stash
+from .common import Stash, column, mix64, raw_texts, stash
 
 BITS = 64
 #: Most members that one verification block holds.
 BLOCK = 16_384
 #: Rows up to which the table of ids to drop is broadcast.
 SMALL = 200_000
+#: Fingerprints of :func:`keep_one`, and the bits in which one of them may differ.  One finds a pair that shares
+#: 0.8 of its shingles with a chance of 0.35, five with 0.88; at 0.85 and 0.9 these are 0.98 and 0.999.
+HASHES, NEAR = 5, 8
 #: Relative costs, in microseconds, of one shuffled probe and one comparison.
 PROBE_COST, COMPARE_COST = 5.0, 0.001
 
@@ -45,44 +53,84 @@ PROBE_COST, COMPARE_COST = 5.0, 0.001
 # -- fingerprints ------------------------------------------------------------
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The SimHash of one text; zero for a text without words."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> Iterator[int]:
+    """The XXH64 of each shingle, repeats included; fewer words than a shingle: of the whole sequence; none: nothing."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, seed)
+        yield digest(joined, seed)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    cut = map(slice, starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    n, total = len(words) - shingle + 1, np.zeros(BITS, np.int64)
-    hashes = (digest(joined[at], seed) for at in cut)
-    while len(some := np.fromiter(itertools.islice(hashes, 1 << 14), np.uint64)):
+    for at in map(slice, starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()):
+        yield digest(joined[at], seed)
+
+
+def majority(blocks: Iterator[np.ndarray]) -> int:
+    """The fingerprint of hashes that come in blocks: the bits set in over half of them; zero for none."""
+    n, total = 0, np.zeros(BITS, np.int64)
+    for some in blocks:
+        n += len(some)
         total += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, check: bool = False, key: bool = False) -> DataFrame:
-    """(id, key, fp long, check long): the SimHash of every row's whole text.
+def _blocks(hashes: Iterator[int]) -> Iterator[np.ndarray]:
+    while len(some := np.fromiter(itertools.islice(hashes, 1 << 14), np.uint64)):
+        yield some
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The SimHash of one text; zero for a text without words."""
+    return majority(_blocks(shingle_hashes(text, shingle, seed)))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.fromiter(shingle_hashes(text, shingle), np.uint64))
+
+
+def set_fingerprints(text: bytes, shingle: int, hashes: int) -> list[int]:
+    """Independent SimHashes of the set of a text's shingles: each from another mix of the same hashes."""
+    known = shingle_set(text, shingle)
+    cut = range(0, len(known), 1 << 14)
+    return [majority(mix64(known[at : at + (1 << 14)] + np.uint64(k) * _STEP) for at in cut) for k in range(hashes)]
+
+
+_STEP = np.uint64(0xD1B54A32D192ED03)
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
+    """(id, fp long): the SimHash of every row's whole text.
 
     A null text counts as empty.  ``bytes.lower`` and ``bytes.split`` change
-    and cut at ASCII characters only, which is what the operator asks for.  With
-    ``check`` there is a second, independent fingerprint; else it is 0.  With ``key``
-    there is md5 of the text; else it is null.
+    and cut at ASCII characters only, which is what the operator asks for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [b"" if t is None else t.tobytes() for t in raw_texts(column(b, "_text"))]
-            own = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            more = np.array([fingerprint(t, shingle, 43) if check else 0 for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(b, "_id"), column(b, "_key"), pa.array(own), pa.array(more)], ["id", "key", "fp", "check"])
+            own = np.array([fingerprint(b"" if t is None else t.tobytes(), shingle) for t in raw_texts(column(b, "_text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([column(b, "_id"), pa.array(own.view(np.int64))], ["id", "fp"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"id {kind}, fp long")
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, hashes: int) -> DataFrame:
+    """(id, key, f0, f1, ...): md5 and the set fingerprints of every row's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([set_fingerprints(b"" if t is None else t.tobytes(), shingle, hashes) for t in raw_texts(column(b, "_text"))], np.uint64).reshape(-1, hashes)
+            cols = [pa.array(np.ascontiguousarray(own[:, k]).view(np.int64)) for k in range(hashes)]
+            yield pa.RecordBatch.from_arrays([column(b, "_id"), column(b, "_key"), *cols], ["id", "key", *(f"f{k}" for k in range(hashes))])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    md5 = F.md5(F.col(text_col)) if key else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), md5.alias("_key")).mapInArrow(run, f"id {kind}, key string, fp long, check long")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(F.col(text_col)).alias("_key"))
+    return rows.mapInArrow(run, ", ".join([f"id {kind}", "key string", *(f"f{k} long" for k in range(hashes))]))
 
 
 # -- plan ---------------------------------------------------------------------
@@ -109,29 +157,29 @@ def _ball(width: int, radius: int) -> int:
     return sum(math.comb(width, k) for k in range(radius + 1))
 
 
-def cooccurrence(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of fingerprints, and how often each two bits are both set.
+def cooccurrence(rows: DataFrame, cols: list[str]) -> tuple[int, list[np.ndarray]]:
+    """The number of rows, and how often each two bits of each column are both set.
 
-    Sums of one 64 x 64 matrix a task: 4096 numbers, whatever the corpus holds.
+    Sums of one 64 x 64 matrix a column and task: 4096 numbers each, whatever the corpus holds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS), np.int64), 0
+        total, n = np.zeros((len(cols), BITS, BITS), np.int64), 0
         for b in batches:
             for at in range(0, b.num_rows, 1 << 14):
-                fp = column(b, "fp").slice(at, 1 << 14).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = _bits(fp).astype(np.float32)
-                total += np.rint(x.T @ x).astype(np.int64)
-                n += len(fp)
+                for k, c in enumerate(cols):
+                    x = _bits(column(b, c).slice(at, 1 << 14).to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.float32)
+                    total[k] += np.rint(x.T @ x).astype(np.int64)
+            n += b.num_rows
         if n:
             cells = np.append(total.ravel(), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], ["cell", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = np.zeros(BITS * BITS + 1, np.int64)
-    for r in rows:
+    found = rows.select(*cols).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = np.zeros(len(cols) * BITS * BITS + 1, np.int64)
+    for r in found:
         cells[r["cell"]] = r["n"]
-    return int(cells[-1]), cells[:-1].reshape(BITS, BITS)
+    return int(cells[-1]), list(cells[:-1].reshape(len(cols), BITS, BITS))
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -244,51 +292,48 @@ def _keys(fp: np.ndarray, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
                 yield i, own ^ np.uint64(sum(1 << f for f in flips))
 
 
-def probes(fps: DataFrame, plan: Plan) -> DataFrame:
-    """(part, key, fp, check) for each probe of each fingerprint."""
+def probes(rows: DataFrame, plans: dict[str, Plan]) -> DataFrame:
+    """(part, key, fp, node) for each probe of each fingerprint column; parts are numbered through."""
+    start = dict(zip(plans, itertools.accumulate([0, *(len(p.parts) for p in plans.values())]), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1 << 13):
-                fp = column(b, "fp").slice(at, 1 << 13).to_numpy(zero_copy_only=False).astype(np.int64)
-                more = column(b, "check").slice(at, 1 << 13)
-                for i, key in _keys(fp, plan):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(key.view(np.int64)), pa.array(fp), more], ["part", "key", "fp", "check"])
+                node = column(b, "node").slice(at, 1 << 13)
+                for c, plan in plans.items():
+                    fp = column(b, c).slice(at, 1 << 13).to_numpy(zero_copy_only=False).astype(np.int64)
+                    for i, key in _keys(fp, plan):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), start[c] + i, np.int32)), pa.array(key.view(np.int64)), pa.array(fp), node], ["part", "key", "fp", "node"])
 
-    return fps.select("fp", "check").mapInArrow(run, "part int, key long, fp long, check long")
+    return rows.select("node", *plans).mapInArrow(run, "part int, key long, fp long, node long")
 
 
-def forest(fp: np.ndarray, check: np.ndarray, max_bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for the members of one block that are not their component's first.
+def forest(fp: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, the node through which it was reached) for the members of one block that are not their component's first.
 
-    Two are linked if the fingerprints differ in at most ``max_bits`` bits, and those
-    with the checks in at most ``most``.  A breadth-first search takes each member out of
-    the unvisited ones when it is first reached; memory is one row of distances at a time.
+    Two are linked if the fingerprints differ in at most ``max_bits`` bits.  A search takes each
+    member out of the unvisited ones when it is first reached; memory is one row of distances at a time.
     """
-    order = np.argsort(fp, kind="stable")
-    left, more = fp.view(np.uint64)[order], check.view(np.uint64)[order]
-    members, roots = [], []
+    order = np.lexsort((node, fp))
+    left, names = fp.view(np.uint64)[order], node[order]
+    members, through = [], []
     while len(left):
-        queue, root = [(left[0], more[0])], left[0]
-        left, more = left[1:], more[1:]
+        queue = [(left[0], names[0])]
+        left, names = left[1:], names[1:]
         while queue and len(left):
-            x, y = queue.pop()
-            far = np.bitwise_count(left ^ x)
-            hit = far <= max_bits
+            x, name = queue.pop()
+            hit = np.bitwise_count(left ^ x) <= max_bits
             if hit.any():
-                if most < 2 * BITS:
-                    hit &= far.astype(np.int16) + np.bitwise_count(more ^ y) <= most
-                found = left[hit]
-                queue.extend(zip(found, more[hit], strict=True))
-                left, more = left[~hit], more[~hit]
-                members.append(found)
-                roots.append(np.full(len(found), root))
+                queue.extend(zip(left[hit], names[hit], strict=True))
+                members.append(names[hit])
+                through.append(np.full(int(hit.sum()), name))
+                left, names = left[~hit], names[~hit]
     if not members:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(members).view(np.int64), np.concatenate(roots).view(np.int64)
+    return np.concatenate(members), np.concatenate(through)
 
 
-def _verify(max_bits: int, most: int):
+def _verify(max_bits: int):
     """For rows sorted by block: the forest of each block, blocks may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +342,9 @@ def _verify(max_bits: int, most: int):
 
         def close() -> None:
             if sum(len(x[0]) for x in kept) > 1:
-                fp, first = np.unique(np.concatenate([x[0] for x in kept]), return_index=True)
-                found = forest(fp, np.concatenate([x[1] for x in kept])[first], max_bits, most)
+                # flips on both sides may bring a node to one value twice
+                node, first = np.unique(np.concatenate([x[1] for x in kept]), return_index=True)
+                found = forest(np.concatenate([x[0] for x in kept])[first], node, max_bits)
                 if len(found[0]):
                     edges.append(found)
 
@@ -311,7 +357,7 @@ def _verify(max_bits: int, most: int):
             if not batch.num_rows:
                 continue
             cols = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("part", "key", "blk")]
-            fp, check = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("fp", "check"))
+            fp, node = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("fp", "node"))
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
             bounds = [0, *new.tolist(), len(fp)]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
@@ -319,7 +365,7 @@ def _verify(max_bits: int, most: int):
                 if key != kept_key:
                     close()
                     kept_key, kept = key, []
-                kept.append((fp[lo:hi], check[lo:hi]))
+                kept.append((fp[lo:hi], node[lo:hi]))
             if sum(len(e[0]) for e in edges) > 10_000:
                 yield flush()
         close()
@@ -329,27 +375,28 @@ def _verify(max_bits: int, most: int):
     return run
 
 
-def link_forest(fps: DataFrame, plan: Plan, max_bits: int, most: int = 2 * BITS) -> DataFrame:
-    """(a, b): edges whose components are those of all links.
+def link_forest(rows: DataFrame, plans: dict[str, Plan], max_bits: int) -> DataFrame:
+    """(a, b): edges between nodes whose components are those of all links.
 
-    Values with a single prober go first, by a map-side-combined count.  Values
-    with more than BLOCK probers are dealt into chunks; block (i, j) holds
+    ``rows`` has (node long) and the fingerprint columns that ``plans`` names; a link is a difference
+    of at most ``max_bits`` bits in one of them.  Values with a single prober go first, by a map-side-combined
+    count.  Values with more than BLOCK probers are dealt into chunks; block (i, j) holds
     the chunks i and j, so that every two probers meet in some block.
     """
-    all_probes = Stash(probes(fps, plan), "simhash-probes")
+    all_probes = Stash(probes(rows, plans), "simhash-probes")
     p = all_probes.df
     sizes = p.groupBy("part", "key").agg(F.count("*").alias("n")).filter("n > 1")
     chunks = F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / (BLOCK // 2))).cast("int")
     pair = F.least("own", "other") * F.col("g") + F.greatest("own", "other")
     dealt = (
         p.join(sizes.select("part", "key", chunks.alias("g")), ["part", "key"])
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .filter("g = 1 or other != own")
-        .select("part", "key", F.when(F.col("g") == 1, 0).otherwise(pair).alias("blk"), "fp", "check")
+        .select("part", "key", F.when(F.col("g") == 1, 0).otherwise(pair).alias("blk"), "fp", "node")
     )
     spread = dealt.repartition("part", "key", "blk").sortWithinPartitions("part", "key", "blk")
-    edges = stash(spread.mapInArrow(_verify(max_bits, most), "a long, b long").distinct(), "simhash-edges")
+    edges = stash(spread.mapInArrow(_verify(max_bits), "a long, b long").distinct(), "simhash-edges")
     all_probes.drop()
     return edges
 
@@ -391,57 +438,91 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {most_rounds} rounds")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similar: float | None, key: bool) -> DataFrame:
-    """(id, key, fp, root, component_id): each row with its class's least fingerprint and least id."""
-    each = stash(fingerprints(docs, id_col, text_col, shingle, similar is not None, key), "simhash-fp")
-    distinct = Stash(each.groupBy("fp").agg(F.min("id").alias("least"), F.min("check").alias("check")), "simhash-distinct")
-    n, both = cooccurrence(distinct.df)
-    most = 2 * BITS if similar is None else math.floor((1 - similar) * 2 * BITS + 1e-9)
-    edges = link_forest(distinct.df, choose_plan(n, both, max_bits), max_bits, most)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row per document: (id_col, fp long, component_id).
+
+    ``component_id`` is the least id that a chain of links (fingerprints at most
+    ``max_bits`` apart) reaches, itself included.  Null and empty texts
+    have fingerprint zero and link like any other.  Rows that repeat an id each
+    return a row.  Null ids are never a component's id unless it has no other.
+    An empty table returns no rows.  Other columns of ``docs`` are not read.
+    """
+    each = stash(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+    distinct = Stash(each.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    n, both = cooccurrence(distinct.df, ["fp"])
+    edges = link_forest(distinct.df.withColumn("node", F.col("fp")), {"fp": choose_plan(n, both[0], max_bits)}, max_bits)
     comp = components(edges)
     rooted = distinct.df.join(comp, distinct.df["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = Stash(rooted, "simhash-rooted")
     # written first, so that the join has plain exchanges on both sides and a hot root can be split
     ids = Stash(rooted.df.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-ids")
-    classes = stash(rooted.df.join(ids.df, "root").select("fp", "root", "component_id"), "simhash-classes")
+    classes = stash(rooted.df.join(ids.df, "root").select("fp", "component_id"), "simhash-classes")
     for done in (distinct, rooted, ids):
         done.drop()
-    return each.join(classes, "fp").select("id", "key", "fp", "root", "component_id")
+    return each.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similar: float | None = None) -> DataFrame:
-    """One row per document: (id_col, fp long, component_id).
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, text) to (node, s array<long>): the distinct hashes of a text's shingles."""
 
-    ``component_id`` is the least id that a chain of links (fingerprints at most
-    ``max_bits`` apart) reaches, itself included.  With ``similar``, a link also needs that
-    share of equal bits in 128: those of the fingerprint and of an independent one,
-    which keeps texts apart that agree in 64 bits by chance.  Null and empty texts
-    have fingerprint zero and link like any other.  Rows that repeat an id each
-    return a row.  Null ids are never a component's id unless it has no other.
-    An empty table returns no rows.  Other columns of ``docs`` are not read.
-    """
-    found = _classes(docs, id_col, text_col, shingle, max_bits, similar, False)
-    return found.select(F.col("id").alias(id_col), "fp", "component_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                found = [shingle_set(b"" if t is None else t.tobytes(), shingle).view(np.int64) for t in raw_texts(column(b, "text"))]
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([column(b, "node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], ["node", "s"])
 
+    return texts.select("node", "text").mapInArrow(run, "node long, s array<long>")
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 13, similar: float = 0.8) -> DataFrame:
-    """``docs``, all columns, with one document of each near-duplicate group.
 
-    That of least id stays (null last), of several rows with that id the one whose text has the
-    least md5, and of rows equal in both, one.  Only the documents to drop, and those that repeat,
-    are joined to the texts: broadcast while a count shows that they are few.
+def _alike(edges: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: float) -> DataFrame:
+    """The edges whose two texts share ``similar`` or more of the shingles that either has.
+
+    ``reps`` has (node, id, key) of a text for each node.  Only texts of nodes with an edge are read
+    into sets, once each.
+    """
+    ends = Stash(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(reps, "node"), "simhash-ends").df
+    few = F.broadcast(ends) if ends.count() <= SMALL else ends
+    own = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text")).withColumn("key_", F.md5("text"))
+    found = own.join(few, F.col("id_").eqNullSafe(F.col("id")) & F.col("key_").eqNullSafe(F.col("key"))).select("node", "text")
+    sets = Stash(_sets(found, shingle).dropDuplicates(["node"]), "simhash-sets").df
+    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    shared = edges.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return stash(shared.filter(F.col("same") >= F.lit(similar) * (F.col("sum") - F.col("same")) - 1e-9).select("a", "b"), "simhash-alike")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = NEAR, hashes: int = HASHES, similar: float = 0.8) -> DataFrame:
+    """``docs``, all columns of any name, with one document of each near-duplicate group.
+
+    Two texts are linked if one of ``hashes`` independent fingerprints of their sets of shingles differs in at most
+    ``max_bits`` bits and they share ``similar`` or more of their distinct shingles (Jaccard).  Texts
+    equal in all fingerprints are one.  Of texts that many others resemble, the pairs measured are those of
+    spanning forests, so a pair may only be linked through others.
+
+    The document of least id stays (null last), of several rows with that id the one whose text has the
+    least md5, and of rows equal in both, one.  Null and empty texts are alike and like nothing else.
+    Only the documents to drop, and those that repeat, are joined to the texts: broadcast while a count shows
+    that they are few.  An empty table stays empty.
     """
-    found = _classes(docs, id_col, text_col, shingle, max_bits, similar, True)
+    fps = [f"f{k}" for k in range(hashes)]
     place = F.struct(F.col("id").isNull().alias("last"), "id", F.coalesce("key", F.lit("")).alias("key"))
-    counted = Stash(found.groupBy("root", "id", "key").agg(F.count("*").alias("n")), "simhash-counted").df
+    each = stash(signatures(docs, id_col, text_col, shingle, hashes), "simhash-fp")
+    # numbers given once, as the table is written
+    nodes = stash(each.groupBy(*fps).agg(F.min(F.struct(place.alias("p"), "id", "key")).alias("rep")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    n, both = cooccurrence(nodes, fps)
+    plans = {c: choose_plan(n, x, max_bits) for c, x in zip(fps, both, strict=True)}
+    edges = link_forest(nodes, plans, max_bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    comp = components(_alike(stash(edges, "simhash-pairs"), nodes.select("node", "rep.id", "rep.key"), docs, id_col, text_col, shingle, similar))
+    rooted = stash(nodes.join(comp.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(*fps, F.coalesce("root", "node").alias("root")), "simhash-rooted")
+    counted = Stash(each.join(rooted, fps).groupBy("root", "id", "key").agg(F.count("*").alias("n")), "simhash-counted").df
     first = Stash(counted.groupBy("root").agg(F.min(place).alias("first")), "simhash-first").df
     judged = counted.join(first, "root").withColumn("other", place != F.col("first")).filter("other or n > 1")
-    odd = stash(judged.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("other").alias("__other")), "simhash-odd")
+    odd = stash(judged.select("id", "key", "other"), "simhash-odd")
     few = F.broadcast(odd) if odd.count() <= SMALL else odd
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.join(few, F.col(id_col).eqNullSafe(F.col("__id")) & F.md5(F.col(text_col)).eqNullSafe(F.col("__key")), "left")
-    once = marked.filter("__other is null").select(*own)
-    again = odd.filter("not __other")
-    if again.isEmpty():
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.md5(F.col(text_col)).alias("own_key"))
+    marked = held.join(few, F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_key").eqNullSafe(F.col("key")), "left")
+    once = marked.filter("other is null").select("doc.*")
+    if odd.filter("not other").isEmpty():
         return once
-    return once.unionByName(marked.filter("not __other").dropDuplicates(["__id", "__key"]).select(*own))
+    return once.unionByName(marked.filter("not other").dropDuplicates(["own_id", "own_key"]).select("doc.*"))

@@ -79,6 +79,67 @@ def test_classes(spark, monkeypatch, block):
     assert sorted((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
 
 
+@pytest.mark.parametrize("radii", [(2, 1), (3, 0), (0, -1, 2, 0)])
+def test_classes_by_unequal_radii(spark, monkeypatch, radii):
+    """The whole operator with a forced plan of unequal thresholds, as large tables get."""
+    plan = simhash.Plan(tuple(simhash.group_bits(1000, np.full((64, 64), 250) + 250 * np.eye(64, dtype=int), len(radii))), radii)
+    monkeypatch.setattr(simhash, "choose_plan", lambda n, both, bits: plan)
+    if plan.rows() > 700:  # balls of 64 bits within two flips: the same with fewer documents
+        rows = near_rows(random.Random(1))[:40]
+    else:
+        rows = near_rows(random.Random(1))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    fps = {i: plain_fingerprint(t or "") for i, t in rows}
+    if len(fps) == len(rows):
+        assert got == classes(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    else:
+        distinct = set(plain_fingerprint(t or "") for _, t in rows)
+        root, least = classes(distinct, lambda a, b: (a ^ b).bit_count() <= 4), {}
+        for i, t in rows:
+            f = root[plain_fingerprint(t or "")]
+            least[f] = min(least.get(f, i), i)
+        assert sorted(got) == sorted(fps) and all(got[i] in {least[root[plain_fingerprint(t or "")]] for j, t in rows if j == i} for i in fps)
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_keep_one_by_similarity(spark):
+    """Pairs of every similarity: above 0.8 one of the two goes, below both stay."""
+    rng = random.Random(41)
+    vocab = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(300):
+        words = rng.choices(vocab, k=rng.randrange(60, 300))
+        near = words.copy()
+        for _ in range(rng.randrange(0, max(2, len(words) // 25))):
+            near[rng.randrange(len(near))] = rng.choice(vocab)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()}
+    text, found = dict(rows), {"low": [], "near": [], "high": []}
+    assert {2 * i for i in range(300)} <= kept
+    for i in range(300):
+        j = jaccard(shingles(text[2 * i]), shingles(text[2 * i + 1]))
+        found["low" if j < 0.8 else "near" if j < 0.85 else "high"].append(2 * i + 1 not in kept)
+    share = {k: sum(v) / len(v) for k, v in found.items()}
+    assert all(len(v) > 20 for v in found.values()) and share["low"] == 0 and share["near"] >= 0.8 and share["high"] >= 0.97
+
+
+def test_keep_one_with_names_of_its_own(spark):
+    """Columns may have the names that the code uses."""
+    names = ("__id", "__key", "__other", "id", "key", "other", "own_id", "own_key", "node", "root", "f0", "fp", "doc", "text2")
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, "")]).withColumns({n: F.lit(n) for n in names})
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert all(r[n] == n for r in kept.collect() for n in names)
+
+
 def test_every_plan_finds_every_link():
     """Whatever the partitions and radii, two fingerprints within the bound share a probe."""
     rng = np.random.default_rng(1)
