@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-DataFrame operations only.  Every document of a source is expected in the mix
-``copies = target / source size`` times (times its weight, if weights are given).
-The whole part of that number is certain; the rest is an inclusion probability
+DataFrame operations only.  A document is expected in the mix ``rate * weight`` times,
+MOST times at most, with a rate for each source that makes the expected words its target.  Unless weights are
+given, they grow with the logarithm of a document's size: longer documents are likelier.
+The whole part of the expected number is certain; the rest is an inclusion probability
 ``lam``.  Documents are ranked by Rosen's Pareto order statistic
 
     q = (u / (1 - u)) / (lam / (1 - lam))
@@ -67,10 +68,40 @@ def water_fill(sources: DataFrame) -> DataFrame:
     return leveled.withColumn("at", first).withColumn("target", F.when(F.col("at").isNull(), (F.col("size") * MOST).cast("double")).otherwise(F.col("weight") * F.col("at"))).drop("level", "at")
 
 
+def size_weight(size: Column) -> Column:
+    """8 more than the number of binary digits."""
+    return F.length(F.bin(size)) + 8
+
+
+def _given_weight(weight: Column) -> Column:
+    """Null and negative weights as zero; the others rounded to 64 steps a doubling, so that their distinct values are few."""
+    w = F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.when(w > 0, F.pow(F.lit(2.0), F.round(F.log2(w) * 64) / 64)).otherwise(0.0)
+
+
+def rates(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """(s, source_size, target, rate): the expected copies of weight 1 in each source; null: all MOST times.
+
+    Of a source's weights, in falling order, the first k are held at MOST copies, where k is the least
+    for which the rate that the others then need keeps them below it.  Windows see a row per source and weight.
+    """
+    sums = slim.filter("w > 0").groupBy("source", "w").agg(F.sum("size").alias("n"))
+    by = Window.partitionBy("source").orderBy(F.col("w").desc())
+    held = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("n")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    each = sums.join(_few(targets), F.col("source").eqNullSafe(F.col("s"))).withColumn("rest", rest).withColumn("held", held)
+    each = each.withColumn("rate", F.when(F.col("rest") > 0, (F.col("target") - MOST * F.col("held")) / F.col("rest")))
+    fits = F.col("rate") * F.col("w") <= MOST
+    found = each.groupBy("s").agg(F.max_by("rate", F.when(fits, F.col("w"))).alias("rate"))
+    return targets.join(found.withColumnRenamed("s", "s_"), F.col("s").eqNullSafe(F.col("s_")), "left").drop("s_")
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: int, *more: Column) -> DataFrame:
     """(id, key, source, size, w, u) of every document, and ``more``."""
-    own = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), own.alias("w"), *more)
+    given = F.lit(None).cast("double") if weight_col is None else _given_weight(F.col(weight_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("key"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), given.alias("w"), *more)
+    if weight_col is None:
+        rows = rows.withColumn("w", size_weight(F.col("size")))
     key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("key", F.lit("")))
     return rows.withColumn("u", uniform(key, seed))
 
@@ -82,7 +113,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _score(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds copies expected, their whole part, the inclusion probability and the place in the ranking."""
-    expected = F.least(F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted") * F.col("w")).otherwise(0.0), F.lit(float(MOST)))
+    expected = F.when(F.col("w") > 0, F.least(F.coalesce(F.col("rate") * F.col("w"), F.lit(float(MOST))), F.lit(float(MOST)))).otherwise(0.0)
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("lam") / (1 - F.col("lam")))
     return (
         rows.join(sources, F.col("source").eqNullSafe(F.col("s")))
@@ -100,7 +131,7 @@ class Mix:
     """What decides about a document: a row per source in each table, and the columns read."""
 
     slim: DataFrame
-    sources: DataFrame  # s, source_size, target, weighted
+    sources: DataFrame  # s, source_size, target, rate
     ends: DataFrame  # s, b: the bucket in which the target is reached, and the last rank taken in it; gap
     closers: DataFrame  # s, close: the rank of the closing document
     columns: tuple[str, str, str, str | None, int]
@@ -128,17 +159,18 @@ def fit_mix(
     """Targets and thresholds for a corpus.
 
     Sources in code point order, null last, weigh ``weights``, repeating.
-    ``weight_col`` makes documents of a source unequally likely; null and
+    ``weight_col`` takes the place of the weights by size; null and
     negative weights count as zero.  Documents of equal id and text, which no
     rule can tell apart, are taken or left together.  Null texts have size 0 and
     are free to take.
     """
     columns = (id_col, text_col, source_col, weight_col, seed)
     slim = stash(_slim(docs, *columns), "mix-slim")
-    sums = slim.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.col("w") * F.col("size")).alias("weighted"))
+    sums = slim.groupBy("source").agg(F.sum("size").alias("size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     share = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(nth, F.lit(len(weights))) + 1).cast("int")).cast("long")
-    sources = stash(water_fill(sums.withColumn("weight", share)).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target", "weighted"), "mix-sources")
+    targets = stash(water_fill(sums.withColumn("weight", share)).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "target"), "mix-targets")
+    sources = stash(rates(slim, targets), "mix-sources")
     d = _score(slim, _few(sources))
     need = d.groupBy("s").agg((F.first("target") - F.sum(F.col("base") * F.col("size"))).alias("need"))
     drawn = d.filter("p is not null")
@@ -214,10 +246,16 @@ lev2 AS (
             OVER (ORDER BY size * 3 / weight, s NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lv
   FROM lev),
 tgt AS (SELECT s, size AS source_size, CASE WHEN lv IS NULL THEN CAST(size * 3 AS DOUBLE) ELSE weight * lv END AS target FROM lev2),
+wts AS (SELECT *, length(bin(size)) + 8 AS w FROM u),
+cls AS (
+  SELECT s, target, w, n, coalesce(sum(n) OVER (PARTITION BY s ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+         sum(w * n) OVER (PARTITION BY s ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM (SELECT source, w, CAST(sum(size) AS BIGINT) AS n FROM wts GROUP BY ALL) JOIN tgt ON source IS NOT DISTINCT FROM s),
+lam AS (SELECT *, CASE WHEN rest > 0 THEN (target - 3 * CAST(held AS BIGINT)) / CAST(rest AS DOUBLE) END AS rate FROM cls),
+rat AS (SELECT s, arg_max(rate, w) FILTER (rate * w <= 3) AS rate FROM lam GROUP BY s),
 d AS (
-  SELECT u.*, source_size, target,
-         least(CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0.0 END, 3.0) AS copies
-  FROM u JOIN tgt ON u.source IS NOT DISTINCT FROM tgt.s),
+  SELECT wts.*, source_size, target, least(coalesce(rate * w, 3.0), 3.0) AS copies
+  FROM wts JOIN tgt ON wts.source IS NOT DISTINCT FROM tgt.s JOIN rat ON wts.source IS NOT DISTINCT FROM rat.s),
 e AS (SELECT *, floor(copies) AS base, copies - floor(copies) AS lam FROM d),
 q AS (SELECT *, CASE WHEN lam > 0 THEN (u / (1 - u)) / (lam / (1 - lam)) END AS q FROM e),
 r AS (
