@@ -5,7 +5,7 @@ WINDOW lines ends a chunk where it is divisible by ``every``, so boundaries depe
 nearby lines alone and an inserted line shifts no boundary beyond the next.
 Chunks of two or more lines are counted over the whole corpus by a 64-bit hash;
 of those whose hash repeats, the bytes are compared, and all but the first
-occurrence (least document id, then position) are removed.
+occurrence (least document id, a null one last, then position) are removed.
 
 The text is only moved where a chunk may repeat: counting shuffles hashes,
 and the two tables that decide (repeated hashes; chunks to remove) are
@@ -72,7 +72,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = hashed.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     twice = Stash(counts, "lines-twice")
     candidates = Stash(hashed.join(_small(twice.df), "h", "left_semi").select("id", "key", "at", "h", "body"), "lines-candidates")
-    place = F.struct(F.col("id"), F.col("key"), F.col("at"))
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("at"))
     # written first, so that the join has plain exchanges on both sides and a hot chunk can be split
     first = Stash(candidates.df.groupBy("h", "body").agg(F.min(place).alias("first")), "lines-first")
     later = candidates.df.join(first.df, ["h", "body"]).filter(~place.eqNullSafe(F.col("first")))
@@ -82,20 +82,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return removed
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
-    """``docs`` with the repeated chunks gone from the text, and two more columns.
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
+    """(doc struct, kept, chunks, removed): each row of ``docs``, the text that stays, and how many chunks there were and went.
 
-    ``__chunks`` and ``__removed`` count a text's chunks and those removed.  The other columns, of
-    any name, stay as they are.  The order of the remaining lines is kept; a text
-    whose chunks all go becomes empty, a null text stays null.
+    The order of the remaining lines is kept; a text whose chunks all go becomes empty, a null text stays null and has no
+    chunks.  Rows equal in id and text are one document, and both are changed alike.  An empty table gives no rows.
     """
-    gone = repeated_chunks(docs, id_col, text_col, every).withColumnsRenamed({"id": "__id", "key": "__key", "removed": "__gone"})
-    joined = docs.join(_small(gone), F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(F.col(text_col)) == F.col("__key")), "left")
-    pieces = lambda c: F.filter(c, lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
-    kept = F.array_join(F.transform(pieces(chunk(F.col(text_col), every)), lambda x: x["body"]), "\n")
-    out = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
-    out = out.withColumn("__chunks", F.coalesce(F.size(chunk(F.col(text_col), every)), F.lit(0))).withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0)))
-    return out.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__chunks", "__removed")
+    gone = repeated_chunks(docs, id_col, text_col, every)
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
+    joined = held.join(_small(gone), F.col("own_id").eqNullSafe(F.col("id")) & (F.md5("own_text") == F.col("key")), "left")
+    pieces = lambda c: F.filter(c, lambda _, i: ~F.array_contains(F.col("removed"), i.cast("int")))
+    kept = F.array_join(F.transform(pieces(chunk(F.col("own_text"), every)), lambda x: x["body"]), "\n")
+    return joined.select("doc", F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(kept).alias("kept"), F.coalesce(F.size(chunk(F.col("own_text"), every)), F.lit(0)).alias("chunks"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
+    """``docs``, all columns of any name, with the repeated chunks gone from the text: see :func:`judged`."""
+    out = judged(docs, id_col, text_col, every)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The result of op9 in DuckDB's SQL.
@@ -117,7 +121,7 @@ b AS (
 f AS (
   SELECT *, n > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]') AS countable FROM b),
 w AS (
-  SELECT *, countable AND row_number() OVER (PARTITION BY body, countable ORDER BY doc_id, key, j) > 1 AS gone FROM f),
+  SELECT *, countable AND row_number() OVER (PARTITION BY body, countable ORDER BY doc_id NULLS LAST, key, j) > 1 AS gone FROM f),
 r AS (
   SELECT doc_id, key, array_to_string(list(body ORDER BY j) FILTER (WHERE NOT gone), chr(10)) AS kept,
          count(*) AS chunks, count(*) FILTER (WHERE gone) AS removed

@@ -57,13 +57,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(pages)
     back = warc.read(warc.write(pages, folder), folder)
     kind = pages.schema["page_id"].dataType
-    number = lambda c: F.col(c).try_cast(kind)  # noqa: E731  a null id is written as "null"
-    return back.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    return back.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", F.col("__chunks").alias("chunks"), F.col("__removed").alias("removed"))
+    out = linededup.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc.doc_id", F.col("kept").alias("text"), "chunks", "removed")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

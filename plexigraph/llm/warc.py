@@ -17,6 +17,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -44,16 +45,26 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: str, url: str | None, payload: bytes, refers_to: str | None, date: str = "1970-01-01T00:00:00Z") -> tuple[bytes, str]:
+def uri_of(page: object) -> str:
+    """A record's name for an id of any type; characters that a header can't hold are percent-encoded."""
+    return "urn:page:" + quote(str(page), safe="") if page is not None else "urn:nopage"
+
+
+def page_of(uri: str) -> str | None:
+    """The id, as text, that :func:`uri_of` named."""
+    return unquote(uri.removeprefix("urn:page:")) if uri.startswith("urn:page:") else None
+
+
+def record(record_id: object, url: str | None, payload: bytes, refers_to: object, date: str = "1970-01-01T00:00:00Z") -> tuple[bytes, str]:
     """(a WARC/1.1 record, its payload digest): a response, or a revisit if ``refers_to`` is given."""
     digest = base32_sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{uri_of(record_id)}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{uri_of(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", digest
 
@@ -92,8 +103,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     A null payload is an empty one.  Of records with equal payloads of at least
     ``least_bytes``, that with the smallest id is the response; the others revisit it.  Rows
-    equal in id and payload are the same kind of record.  A null id is written
-    as ``null`` and revisits if any equal payload has an id.  An empty table writes nothing.
+    equal in id and payload are the same kind of record.  A null id stays null in the index,
+    and revisits if any equal payload has an id.  Ids may be of any type that has a text.  An empty table writes nothing.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     again = Stash(assign(rows, "id", "payload", least_bytes), "warc-again").df
@@ -114,8 +125,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                         path, at = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
                         system.create_dir(base, recursive=True)
                         out = system.open_output_stream(path, compression=None)
-                    key, first = ("null" if not x.is_valid else str(x.as_py()) for x in (page, refers))
-                    plain, digest = record(key, url.as_py(), payload.as_py(), first if refers.is_valid else None)
+                    key = str(page.as_py()) if page.is_valid else None
+                    plain, digest = record(key, url.as_py(), payload.as_py(), refers.as_py())
                     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
                     coded = pack.compress(plain) + pack.flush()
                     out.write(coded)
@@ -178,7 +189,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                         fresh = own["warc-type"] == "response"
                         if said != digests[i + k] or fresh and base32_sha1(body) != said:
                             raise WarcError(f"digest of {own['warc-record-id']} differs")
-                        bare = lambda x: x[len("<urn:page:") : -1]
+                        bare = lambda x: page_of(x[1:-1])
                         rows.append((bare(own["warc-record-id"]), own.get("warc-target-uri"), own["warc-type"], None if fresh else bare(own["warc-refers-to"]), len(body) if fresh else int(http["content-length"]), base32_sha1(body) if fresh else said, body if fresh else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 i = j

@@ -72,6 +72,21 @@ def test_mix_is_unequal_where_weights_are(spark):
     assert sum(heavy) / len(heavy) == pytest.approx(3 * sum(light) / len(light), rel=0.15)
 
 
+def test_mix_is_unequal_by_size(spark):
+    """Copies of long and short documents of a source are as their weights, and as expected over many documents."""
+    rows = [(i, "w " * (4 if i % 2 else 200), "s" if i < 4000 else "t") for i in range(6000)]
+    got = [r for r in mixed(spark, rows) if r["source"] == "s"]
+    mean = {n: sum(r["copies"] for r in got if r["size"] == n) / 2000 for n in (4, 200)}
+    assert mean[200] / mean[4] == pytest.approx((8 + 8) / (8 + 3), rel=0.1)
+    assert sum(r["copies"] * r["size"] for r in got) == pytest.approx(got[0]["target"], abs=200)
+
+
+def test_mix_takes_all_of_a_source_at_its_cap(spark):
+    rows = [(i, "w " * (1 + i % 50), "tiny" if i < 100 else "zeta") for i in range(6000)]
+    tiny = [r for r in mixed(spark, rows, weights=(3, 1)) if r["source"] == "tiny"]
+    assert {r["copies"] for r in tiny} == {3}
+
+
 def test_mix_edges(spark):
     assert mixed(spark, []) == []
     assert {r["copies"] * r["size"] for r in mixed(spark, [(None, None, None), (None, None, None)])} == {0}
@@ -106,7 +121,7 @@ def brute_lines(rows):
     import hashlib
 
     first = {}
-    for i, t in sorted(((i, t) for i, t in set(rows) if t is not None), key=lambda x: (x[0] is not None, x[0], hashlib.md5(x[1].encode()).hexdigest())):
+    for i, t in sorted(((i, t) for i, t in set(rows) if t is not None), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest())):
         for k, c in enumerate(chunks_of(t)):
             first.setdefault("\n".join(c), (i, t, k))
     out = []
@@ -125,10 +140,11 @@ def test_lines(spark):
     block = [f"shared {k}" for k in range(12)]
     rows = [(i, "\n".join([rng.choice(lines) for _ in range(rng.randrange(5))] + block * (i % 3 == 0) + [rng.choice(lines) for _ in range(rng.randrange(5))])) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "\n\n\n\n"), (103, "\n\n\n\n"), (104, "one line"), (105, "one line"), (None, "a\nb\nc\nd"), (106, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), rows[3], rows[3]]
-    got = linededup.dedup_lines(frame(spark, [(i, t, None) for i, t in rows])).collect()
+    docs = frame(spark, [(i, t, None) for i, t in rows])
+    got = linededup.dedup_lines(docs).collect()
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted([(r["doc_id"], r["text"]) for r in got], key=key) == sorted(brute_lines(rows), key=key)
-    assert sum(r["__removed"] for r in got) > 10
+    assert sum(r["removed"] for r in linededup.judged(docs).collect()) > 10
 
 
 def test_lines_resist_shifts(spark):
@@ -140,11 +156,14 @@ def test_lines_resist_shifts(spark):
 
 def test_lines_edges(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
-    clash = frame(spark, [(1, "a\nb\nc", "s"), (2, "a\nb\nc", "s")]).withColumn("id", F.lit("x")).withColumn("key", F.lit(1)).withColumn("h", F.lit(2))
+    names = ("id", "key", "h", "__id", "__key", "__gone", "__kept", "__chunks", "__removed", "kept", "removed", "chunks", "doc", "own_id", "own_text")
+    clash = frame(spark, [(1, "a\nb\nc", "s"), (2, "a\nb\nc", "s")]).withColumns({n: F.lit(n) for n in names})
     out = linededup.dedup_lines(clash)
-    assert out.columns[:-2] == clash.columns and out.count() == 2
+    assert out.columns == clash.columns and out.count() == 2 and all(r[n] == n for r in out.collect() for n in names)
+    none = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, [(None, "q\nr\ns\nt", None), (1, "q\nr\ns\nt", None)])).collect()}
+    assert none == {1: "q\nr\ns\nt", None: brute_lines([(None, "q\nr\ns\nt"), (1, "q\nr\ns\nt")])[0][1]} and none[None] != none[1]
     long = "\n".join(f"l{i % 5000}" for i in range(20_000))
-    assert linededup.dedup_lines(frame(spark, [(1, long, None)])).first()["__removed"] > 100
+    assert linededup.judged(frame(spark, [(1, long, None)])).first()["removed"] > 100
 
 
 # -- packing ------------------------------------------------------------------------
