@@ -5,13 +5,15 @@ unbiased risk (Kiryo et al., 2017)
 
     prior * E_p[loss(z)] + max(0, E_u[loss(-z)] - prior * E_p[loss(-z)])
 
-over trusted positives p and unlabelled text u.  The class prior is
-estimated from the labelled rows if any is negative, and otherwise from how a first
-classifier of positives against unlabelled text scores the two (Elkan and Noto,
-2008).  Negative labels serve nothing but that estimate.
+over trusted positives p and unlabelled text u.  The class prior is that of the
+unlabelled text: estimated from how a first classifier of positives against unlabelled text scores
+the two (Elkan and Noto, 2008), and, if there are trusted negatives, averaged with the prior at which a classifier
+of the two labels explains the unlabelled scores best (Saerens et al., 2002).  The first errs low where
+positives are of many kinds, the second high where negatives are few.
+Negative labels serve nothing but that estimate.
 
 Documented bounds: the model is fitted on at most POSITIVES trusted and UNLABELLED
-other rows, those least by a hash of their id.  Every document is scored whole.
+other rows, and the prior on NEGATIVES more, those least by a hash of their id.  Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import SPACE, column, raw_texts, word_bounds, word_hashes
 from .langid import held_out
 
 #: Bounds of the fitting sample (rows).
-POSITIVES, UNLABELLED = 6_000, 16_000
+POSITIVES, UNLABELLED, NEGATIVES = 6_000, 16_000, 2_000
 #: Scores from here on predict label 1.
 THRESHOLD = 0.3
 
@@ -140,20 +142,41 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     half = len(positive) / max(len(positive) + len(unlabelled), 1)
     if not len(positive) or not len(unlabelled):
         return 0.5
-    model = _logistic(positive, unlabelled)
+    model = _logistic(positive, unlabelled, even=False)
     c = float(model(positive).mean())
     f = model(unlabelled)
     ratio = f / np.maximum(1 - f, 1e-9) * (1 - c) / max(c, 1e-9)
     return float(np.clip(np.minimum(ratio, 1.0).mean(), 0.05, 0.99)) if half < 1 else 0.5
 
 
-def _logistic(positive: np.ndarray, unlabelled: np.ndarray):
-    mean, spread = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-3)
-    x = np.clip((np.concatenate((positive, unlabelled)) - mean) / spread, -8, 8)
-    y = np.concatenate((np.ones(len(positive)), np.zeros(len(unlabelled))))
+def shifted_prior(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives at which a classifier of the two labels explains the unlabelled rows best, by expectation maximisation."""
+    f = _logistic(positive, negative)(unlabelled)
+    share = 0.5
+    for _ in range(200):
+        share = float((f * share / (f * share + (1 - f) * (1 - share))).mean())
+        share = min(max(share, 1e-6), 1 - 1e-6)
+    return share
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray) -> float:
+    """The class prior of the unlabelled rows, 0.05 to 0.99."""
+    share = estimate_prior(positive, unlabelled)
+    if len(negative):
+        share = (share + shifted_prior(positive, negative, unlabelled)) / 2
+    return float(np.clip(share, 0.05, 0.99))
+
+
+def _logistic(one: np.ndarray, zero: np.ndarray, even: bool = True):
+    """A logistic classifier of two sets of rows that count alike as wholes, whatever their sizes (or row by row)."""
+    both = np.concatenate((one, zero)) if even else zero
+    mean, spread = both.mean(0), np.maximum(both.std(0), 1e-3)
+    x = np.clip((np.concatenate((one, zero)) - mean) / spread, -8, 8)
+    y = np.concatenate((np.ones(len(one)), np.zeros(len(zero))))
+    each = np.concatenate((np.full(len(one), 0.5 / len(one)), np.full(len(zero), 0.5 / len(zero)))) if even else np.full(len(y), 1 / len(y))
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(300):
-        g = (_sigmoid(x @ w + b) - y) / len(y)
+        g = (_sigmoid(x @ w + b) - y) * each
         w, b = w - 0.5 * (x.T @ g + 1e-3 * w), b - 0.5 * g.sum()
     return lambda z: _sigmoid(np.clip((z - mean) / spread, -8, 8) @ w + b)
 
@@ -173,13 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     is no model.
     """
     marks = labels.filter("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low = high")
-    n = marks.agg(F.count(F.when(F.col("low") == 1, 1)).alias("p"), F.count("*").alias("n")).first()
     p = _sample(docs, marks.filter("low = 1").select("id"), positives)
     u = _sample(docs, docs.select("id").filter("id is not null"), unlabelled)
     if not len(p) or not len(u):
         return None
-    prior = n["p"] / n["n"] if n["p"] < n["n"] else estimate_prior(p, u)
-    return fit(p, u, float(np.clip(prior, 0.05, 0.99)))
+    return fit(p, u, prior_of(p, u, _sample(docs, marks.filter("low = 0").select("id"), NEGATIVES)))
 
 
 def apply(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -208,7 +229,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
+    """The documents that the classifier accepts, with all their columns, of any name.
+
+    Null and empty texts are scored as empty ones; rows that repeat are judged alike.  Without a trusted positive
+    all stay.  An empty table stays empty.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     model = train(rows, marks)

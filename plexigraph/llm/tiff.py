@@ -1,9 +1,9 @@
 """TIFF media columns: encode byte payloads as pages, walk and decode any page.
 
 The decoder follows the image file directories of a classic TIFF of either byte
-order, decodes strips or tiles (stored, PackBits, LZW or deflate), undoes
-predictors 2 (horizontal) and 3 (floating point), and yields one page for each
-directory.  The DataFrame operators stream Arrow batches: what is in memory is one batch
+order, decodes strips or tiles (stored, PackBits, LZW or deflate) of 1, 2, 4, 8, 16, 32 or 64 bits a
+sample, undoes predictors 2 (horizontal) and 3 (floating point), and yields one page for each
+directory.  What a file claims is checked against its size before memory is taken.  The DataFrame operators stream Arrow batches: what is in memory is one batch
 and one document.
 """
 
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import column, raw_texts
 
@@ -29,6 +30,9 @@ TAG_PREDICTOR, TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILES, TAG_TILE_SIZES, TAG_F
 STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8)}
 
+#: Most bytes of one page's pixels.
+LARGEST = 1 << 30
+
 #: Payloads fill up to a positive multiple of this many bytes, with this byte.
 UNIT, FILL = 576, 255
 
@@ -68,9 +72,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, need: int | None = None) -> bytes:
+    """All of it, or as soon as ``need`` bytes are there."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (need is None or len(out) < need):
         k = data[i]
         if k < 128:
             if i + 2 + k > n:
@@ -131,10 +136,11 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, need: int | None = None) -> bytes:
+    """All of it, or as soon as ``need`` bytes are there."""
     roots = [bytes((i,)) for i in range(256)] + [b"", b""]
     book, width, acc, have, last = roots.copy(), 9, 0, 0, b""
-    out = []
+    out, size = [], 0
     for byte in data:
         acc, have = (acc << 8) | byte, have + 8
         if have < width:
@@ -160,6 +166,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise TiffError("LZW code out of range")
         out.append(now)
+        size += len(now)
+        if need is not None and size >= need:
+            break
         last = now
         if len(book) + 1 >= 1 << width and width < 12:
             width += 1
@@ -169,14 +178,15 @@ def lzw_decode(data: bytes) -> bytes:
 ENCODE = {STORED: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits_encode}
 
 
-def _inflate(data: bytes) -> bytes:
+def _inflate(data: bytes, need: int) -> bytes:
     try:
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need)
     except zlib.error as e:
         raise TiffError(f"deflate: {e}") from e
 
 
-DECODE = {STORED: bytes, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: packbits_decode}
+#: Decoders of (data, bytes needed): none makes much more than is needed, whatever the data say.
+DECODE = {STORED: lambda data, need: data[:need], LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: packbits_decode}
 
 
 # -- encoder -------------------------------------------------------------------
@@ -283,56 +293,91 @@ def _undo_float(raw: np.ndarray, rows: int, cols: int, samples: int, kind: np.dt
     return np.ascontiguousarray(summed.transpose(0, 2, 1)).reshape(rows, -1).view(kind.newbyteorder(">")).reshape(rows, cols, samples).astype(kind)
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF in the order of its directories."""
+def _unpacked(raw: np.ndarray, rows: int, cols: int, deep: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, high bits first; every row begins with a byte."""
+    each = np.unpackbits(raw.reshape(rows, -1), axis=1)[:, : cols * deep * bits].reshape(rows, cols, deep, bits)
+    return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+
+
+def directories(data: bytes) -> Iterator[tuple[dict[int, list], str]]:
+    """(tags, byte order) of each page, in the order of the directories."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
     magic, at = struct.unpack_from(order + "HI", data, 2)
     if magic != 42:
         raise TiffError("no classic TIFF")
-    seen, number = set(), 0
+    seen = set()
     while at:
         if at in seen:
             raise TiffError("directories form a loop")
         seen.add(at)
         tags, at = _directory(data, at, order)
+        yield tags, order
+
+
+def pages(data: bytes) -> Iterator[Page]:
+    """The pages of a TIFF in the order of its directories."""
+    for number, (tags, order) in enumerate(directories(data)):
         yield _page(data, tags, order, number)
-        number += 1
 
 
 def _page(data: bytes, tags: dict[int, list], order: str, number: int) -> Page:
-    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    def one(tag: int, default: int | None = None) -> int | None:
+        value = (tags.get(tag) or [default])[0]
+        if value is not None and not isinstance(value, int):
+            raise TiffError(f"tag {tag} is no whole number")
+        return value
+
     width, height, samples = one(TAG_WIDTH), one(TAG_HEIGHT), one(TAG_SAMPLES, 1)
     bits, coded, predictor, planar = one(TAG_BITS, 1), one(TAG_COMPRESSION, 1), one(TAG_PREDICTOR, 1), one(TAG_PLANAR, 1)
-    if not width or not height:
+    if not width or not height or width < 0 or height < 0:
         raise TiffError("a page without width or height")
+    if samples < 1 or planar not in (1, 2):
+        raise TiffError("a page without samples")
     if coded not in DECODE:
         raise TiffError(f"compression {coded}")
-    if any(b != bits for b in tags.get(TAG_BITS, [bits])) or bits not in (8, 16, 32, 64):
+    if any(b != bits for b in tags.get(TAG_BITS, [bits])) or bits not in (1, 2, 4, 8, 16, 32, 64):
         raise TiffError(f"{bits} bits a sample")
-    kind = np.dtype({1: "u", 2: "i", 3: "f"}.get(one(TAG_FORMAT, 1), "u") + str(bits // 8))
+    if predictor not in (1, 2, 3) or predictor > 1 and bits < 8:
+        raise TiffError(f"predictor {predictor} of {bits} bits")
+    name = {1: "u", 2: "i", 3: "f"}.get(one(TAG_FORMAT, 1), "u") + str(max(bits, 8) // 8)
+    if name in ("f1",) or predictor == 3 and name[0] != "f":
+        raise TiffError(f"format {name} with predictor {predictor}")
+    kind = np.dtype(name)
+    if width * height * samples * kind.itemsize > LARGEST:
+        raise TiffError(f"more than {LARGEST} bytes of pixels")
     tiled = TAG_TILES in tags
     bw, bh = (one(TAG_TILE_WIDTH), one(TAG_TILE_HEIGHT)) if tiled else (width, min(one(TAG_STRIP_ROWS, height), height))
+    if not bw or not bh or bw < 0 or bh < 0:
+        raise TiffError("strips or tiles without rows or columns")
     where, sizes = tags.get(TAG_TILES if tiled else TAG_STRIPS, []), tags.get(TAG_TILE_SIZES if tiled else TAG_STRIP_SIZES, [])
     across, down = math.ceil(width / bw), math.ceil(height / bh)
     planes = samples if planar == 2 else 1
     if len(where) < across * down * planes or len(sizes) < len(where):
         raise TiffError("too few strips or tiles")
+    if not all(isinstance(x, int) and x >= 0 for x in (*where, *sizes)):
+        raise TiffError("strips or tiles at no whole number")
     deep = 1 if planar == 2 else samples
-    out = np.empty((height, width, samples), kind)
+    if bw * bh * deep * kind.itemsize > LARGEST:
+        raise TiffError(f"a tile of more than {LARGEST} bytes")
+    out = None
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * bh, cell % across * bw
         rows = bh if tiled else min(bh, height - y)
         if where[k] + sizes[k] > len(data):
             raise TiffError("strip outside the file")
-        raw = np.frombuffer(DECODE[coded](data[where[k] : where[k] + sizes[k]]), np.uint8)
-        need = rows * bw * deep * kind.itemsize
+        need = rows * (bw * deep * bits + 7 >> 3)
+        raw = np.frombuffer(DECODE[coded](data[where[k] : where[k] + sizes[k]], need), np.uint8)
         if len(raw) < need:
             raise TiffError("strip too short")
+        if out is None:  # not before a strip is there
+            out = np.empty((height, width, samples), kind)
         if predictor == 3:
             block = _undo_float(raw[:need], rows, bw, deep, kind, order)
+        elif bits < 8:
+            block = _unpacked(raw[:need], rows, bw, deep, bits)
         else:
             block = _undo(raw[:need].view(kind.newbyteorder(order)).astype(kind, copy=False).reshape(rows, bw, deep), predictor)
         h, w = min(rows, height - y), min(bw, width - x)
@@ -366,41 +411,52 @@ PAGE_COLUMNS = "page int, width int, height int, samples int, bits int, compress
 
 
 def read_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page, after the other columns of ``media``, in order.
+    """(own, page, width, height, samples, bits, compression, pixels, error): a row per page, in order.
 
-    A null medium, or one that can't be decoded from some page on, gives one row with
-    null pixels and the reason in ``error`` (after the pages that could be).  The row's
-    other columns, of any name, come first; the media column is left out.
+    ``own`` holds the row's other columns, of any name.  Samples of less than 8 bits come as bytes.  A page that
+    can't be decoded gives a row with its number, null pixels and the reason in ``error``, and the next directory is
+    tried; a null medium, and directories that can't be followed further, give one without a number.
     """
     keep = [f for f in media.schema if f.name != media_col]
-    names = [f.name for f in keep]
+    own_kind = StructType(keep or [StructField("none", BooleanType())])
+    names = ["own", *(x.split()[0] for x in PAGE_COLUMNS.split(", "))]
+
+    def walk(m: pa.Scalar) -> Iterator[tuple]:
+        try:
+            if not m.is_valid:
+                raise TiffError("null")
+            data = m.as_py()
+            for number, (tags, order) in enumerate(directories(data)):
+                try:
+                    p = _page(data, tags, order, number)
+                except TiffError as e:
+                    yield (number, *(None,) * 6, str(e))
+                    continue
+                yield p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.tobytes(), None
+        except TiffError as e:
+            yield (None,) * 7 + (str(e),)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32()] * 6 + [pa.binary(), pa.string()]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, rows, own = b.slice(at, 256), [], []
-                for i, m in enumerate(column(part, media_col)):
-                    try:
-                        if not m.is_valid:
-                            raise TiffError("null")
-                        for p in pages(m.as_py()):
-                            rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.tobytes(), None))
-                            own.append(i)
-                    except TiffError as e:
-                        rows.append((None,) * 7 + (str(e),))
+                for i, m in enumerate(column(part, "media")):
+                    for row in walk(m):
+                        rows.append(row)
                         own.append(i)
-                kinds = [pa.int32()] * 6 + [pa.binary(), pa.string()]
-                cols = [column(part, n).take(pa.array(own, pa.int64())) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [*names, *(x.split()[0] for x in PAGE_COLUMNS.split(", "))])
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([column(part, "own").take(pa.array(own, pa.int64())), *cols], names)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [PAGE_COLUMNS])
-    return media.mapInArrow(run, schema)
+    schema = StructType([StructField("own", own_kind), *StructType.fromDDL(PAGE_COLUMNS).fields])
+    own = F.struct(*[F.col(f"`{f.name}`") for f in keep]) if keep else F.struct(F.lit(None).cast("boolean").alias("none"))
+    return media.select(own.alias("own"), F.col(media_col).alias("media")).mapInArrow(run, schema)
 
 
 def digest(page_rows: DataFrame) -> DataFrame:
     """Per document, from its consecutive page rows: sizes, digests and a feature string.
 
-    ``page_rows`` has (id, n_bytes, media_bytes, media_sha256) before the page
+    ``page_rows`` has (id, n_bytes, media_bytes, media_sha256) and the page
     columns.  A document's pages follow one another within a partition, as
     :func:`read_pages` leaves them, so nothing is shuffled; a page numbered 0
     begins the next document.
@@ -461,4 +517,5 @@ def payload_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     media = store(docs, id_col, text_col)
     sized = media.select("id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    return digest(read_pages(sized)).withColumnRenamed("id", id_col)
+    found = read_pages(sized).select("own.*", "page", "width", "height", "pixels", "error")
+    return digest(found).withColumnRenamed("id", id_col)

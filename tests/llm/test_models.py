@@ -61,6 +61,38 @@ def test_language_edges(spark):
     assert none["lang_pred"] == "und"
 
 
+def test_predictions_are_those_of_plain_python(spark):
+    """Profiles learnt and rows predicted as the query does, with lists and counters."""
+    from collections import Counter
+
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()]
+
+    def grams(text):
+        words = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text).split()
+        s = " " + " ".join(words) + " " if words else ""
+        return [c for c in s if c != " "] + [s[i : i + 2] for i in range(len(s) - 1)] + [s[i : i + 3] for i in range(len(s) - 2) if s[i + 1] != " "]
+
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    first = lambda counts, most: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:most]]
+    sums = {}
+    for i, t, lang in docs:
+        if t is not None and lang is not None and not crc_fold(i):
+            sums.setdefault(lang, Counter()).update(grams(t))
+    profiles = {lang: {g: k for k, g in enumerate(first(c, langid.PROFILE))} for lang, c in sorted(sums.items())}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_rank_order_langid"](spark, SMALL).collect()}
+    most = max(map(len, profiles.values()))
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        own = first(Counter(grams(t or "")), langid.OWN)
+        if not own:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cost = {lang: np.mean([min(abs(p[g] - k), most) if g in p else most for k, g in enumerate(own)]) / most for lang, p in profiles.items()}
+        best = min(cost, key=cost.get)
+        assert cost[got[i]["lang_pred"]] == pytest.approx(cost[best], abs=1e-12)
+        assert got[i]["score"] == pytest.approx(1 / sum(np.exp(langid.SHARP * (cost[best] - c)) for c in cost.values()))
+
+
 def test_rank_order_cost():
     """Costs as defined, over lists of n-grams in plain Python."""
 
@@ -126,6 +158,43 @@ def test_risk_is_learnt_without_negatives():
     assert quality.estimate_prior(pos, unl) == pytest.approx(0.6, abs=0.12)
 
 
+def test_gradient_is_that_of_the_risk():
+    """One step of the fit against differences of the non-negative risk, written out; and the risk falls."""
+    rng = np.random.default_rng(1)
+    pos, unl = rng.normal(1, 1, (60, 4)), rng.normal(0, 1, (90, 4))
+    mean, spread = unl.mean(0), unl.std(0)
+
+    def risk(model):
+        z = lambda x: np.clip((x - model.mean) / model.spread, -8, 8) @ model.weights + model.bias
+        loss = lambda v: np.log1p(np.exp(-v))
+        return 0.4 * loss(z(pos)).mean() + max(0.0, loss(-z(unl)).mean() - 0.4 * loss(-z(pos)).mean()) + 5e-4 * (model.weights**2).sum()
+
+    fitted = quality.fit(pos, unl, 0.4, steps=2000, rate=0.01)
+    best = risk(fitted)
+    assert best < risk(quality.fit(pos, unl, 0.4, steps=1))
+    for k in range(5):  # no small move of any weight makes the risk much less
+        for step in (0.05, -0.05):
+            w = fitted.weights.copy()
+            bias = fitted.bias + step * (k == 4)
+            if k < 4:
+                w[k] += step
+            assert risk(quality.Model(mean, spread, w, bias, 0.4)) > best - 1e-3
+
+
+def test_scores_are_those_of_the_model(spark):
+    """The query's rows: sampled, fitted and scored again in one process."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if not crc_fold(r["doc_id"])}
+    view = lambda t: None if t is None else np.frombuffer(t.encode(), np.uint8)
+    x = {r["doc_id"]: quality.features(view(r["text"])) for r in docs}
+    p, u = np.stack([x[i] for i, q in labels.items() if q == 1]), np.stack(list(x.values()))
+    model = quality.fit(p, u, quality.prior_of(p, u, np.stack([x[i] for i, q in labels.items() if q == 0])))
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op5_pu_quality"](spark, SMALL).collect()}
+    assert set(got) == set(x)
+    want = model.score(np.stack([x[i] for i in got]).astype(np.float64))
+    assert np.abs(want - np.array(list(got.values()))).max() < 1e-3
+
+
 def test_word_hashes():
     import pyarrow as pa
 
@@ -187,13 +256,68 @@ def test_broken_tiffs(spark):
     (n,) = struct.unpack_from("<H", good, first)
     struct.pack_into("<I", loop, first + 2 + 12 * n, first)
     rows = [(1, good), (2, None), (3, b""), (4, b"II*\0\xff\xff\xff\0"), (5, bytes(loop)), (6, good[:40]), (7, good.replace(b"\x78\x01", b"\x00\x00"))]
-    df = spark.createDataFrame([(i, m, "own") for i, m in rows], "id int, media binary, page string")
-    got = tiff.read_pages(df.withColumnRenamed("page", "note")).collect()
+
+    def changed(tag, value=None, count=None):
+        """The file with another value, or number of values, of a tag."""
+        out = bytearray(good)
+        for i in range(n):
+            if struct.unpack_from("<H", out, first + 2 + 12 * i)[0] == tag:
+                if count is not None:
+                    struct.pack_into("<I", out, first + 6 + 12 * i, count)
+                if value is not None:
+                    struct.pack_into("<I", out, first + 10 + 12 * i, value)
+        return bytes(out)
+
+    rows += [(8, changed(278, 0)), (9, changed(256, 0)), (10, changed(256, 1 << 31)), (11, changed(258, count=0)), (12, changed(273, 1 << 31)), (13, changed(279, count=0)), (14, changed(277, 0)), (15, changed(257, 0xFFFFFFFF)), (16, changed(259, 7)), (17, changed(317, 9)), (18, changed(256, count=0))]
+    tiled = bytearray(tiff.encode(b"x" * 576, tile=64))
+    (t,) = struct.unpack_from("<I", tiled, 4)
+    for i in range(struct.unpack_from("<H", tiled, t)[0]):
+        if struct.unpack_from("<H", tiled, t + 2 + 12 * i)[0] in (322, 323):
+            struct.pack_into("<I", tiled, t + 10 + 12 * i, 0)
+    rows.append((19, bytes(tiled)))
+    two = bytearray(tiff.encode(b"x" * 576 * 2, page_rows=1))
+    (t,) = struct.unpack_from("<I", two, 4)
+    for i in range(struct.unpack_from("<H", two, t)[0]):
+        if struct.unpack_from("<H", two, t + 2 + 12 * i)[0] == 259:
+            struct.pack_into("<I", two, t + 10 + 12 * i, 7)
+    rows.append((20, bytes(two)))
+    names = ("page", "width", "error", "pixels", "own", "none")
+    df = spark.createDataFrame(rows, "id int, media binary").withColumns({x: F.lit(x) for x in names})
+    got = tiff.read_pages(df).collect()
     by = {}
     for r in got:
-        by.setdefault(r["id"], []).append(r["error"])
+        by.setdefault(r["own"]["id"], []).append(r["error"])
     assert by[1] == [None] and by[5][0] is None and by[5][1] == "directories form a loop"
-    assert all(by[i][-1] for i in (2, 3, 4, 6, 7)) and all(r["note"] == "own" for r in got)
+    assert set(by) == {i for i, _ in rows}
+    assert all(by[i][-1] for i in (2, 3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19))
+    assert by[20] == ["compression 7", None]  # the next directory is read all the same
+    assert all(r["own"][x] == x for r in got for x in names)
+
+
+def test_random_damage_never_raises(spark):
+    """Any change of any byte gives pages or a TiffError."""
+    rng = random.Random(3)
+    for media in (tiff.encode(bytes(range(256)) * 9, tiff.LZW), tiff.encode(b"ab" * 576 * 3, tiff.PACKBITS, 1, page_rows=2, tile=16), tiff.encode(b"q" * 576 * 4, order=">", page_rows=3)):
+        for _ in range(400):
+            bad = bytearray(media)
+            for _ in range(rng.randrange(1, 4)):
+                bad[rng.randrange(len(bad))] = rng.randrange(256)
+            try:
+                list(tiff.pages(bytes(bad)))
+            except tiff.TiffError:
+                pass
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_few_bits_a_sample(bits):
+    """Rows of 13 samples, packed high bits first."""
+    rng = random.Random(bits)
+    want = [[rng.randrange(1 << bits) for _ in range(13)] for _ in range(5)]
+    packed = b"".join(int("".join(f"{x:0{bits}b}" for x in row).ljust(-(-13 * bits // 8) * 8, "0"), 2).to_bytes(-(-13 * bits // 8)) for row in want)
+    coded = tiff.packbits_encode(packed)
+    tags = [(256, 13), (257, 5), (258, bits), (259, tiff.PACKBITS), (273, 8), (277, 1), (278, 5), (279, len(coded))]
+    media = struct.pack("<2sHI", b"II", 42, 8 + len(coded)) + coded + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+    assert next(tiff.pages(media)).pixels[:, :, 0].tolist() == want
 
 
 def test_payload_digests(spark):
@@ -207,6 +331,15 @@ def test_payload_digests(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
         media = tiff.encode(full)
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        counts = [full.count(bytes((v,))) for v in range(256)]
+        p = [c / len(full) for c in counts]
+        mean = sum(v * x for v, x in enumerate(p))
+        shape, rows = f"576x{min(128, len(full) // 576)}", -(-len(full) // 576 // 128)
+        parts = dict(x.split("=") for x in r["feature"].split(";"))
+        assert (int(parts["pages"]), parts["shape"]) == (rows, shape)
+        assert float(parts["mean"]) == pytest.approx(mean, abs=1e-4)
+        assert float(parts["std"]) == pytest.approx(sum(x * (v - mean) ** 2 for v, x in enumerate(p)) ** 0.5, abs=1e-4)
+        assert float(parts["entropy"]) == pytest.approx(-sum(x * np.log2(x) for x in p if x), abs=1e-4)
     assert got[2][1:] == got[6][1:] and got[0][1:] == got[1][1:]
     assert tiff.payload_digests(df.limit(0)).count() == 0
 
@@ -228,7 +361,7 @@ def test_warc(spark):
     index = warc.write(df, folder)
     assert index.count() == len(rows)
     got = warc.read(index, folder).collect()
-    want = [("1", "response", None, 4)] * 2 + [("2", "response", None, 0), ("3", "revisit", "1", 4), ("5", "revisit", "1", 4), ("7", "revisit", "2", 0), ("9", "response", None, 100_000), ("null", "response", None, 4), ("null", "revisit", "1", 4)]
+    want = [("1", "response", None, 4)] * 2 + [("2", "response", None, 0), ("3", "revisit", "1", 4), ("5", "revisit", "1", 4), ("7", "revisit", "2", 0), ("9", "response", None, 100_000), (None, "response", None, 4), (None, "revisit", "1", 4)]
     assert sorted(map(str, ((r["record_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got))) == sorted(map(str, want))
     for r in got:
         if r["payload"] is not None:
@@ -242,6 +375,15 @@ def test_warc(spark):
     assert {r["record_type"] for r in warc.read(least, folder).collect()} == {"response"}
 
 
+def test_warc_ids_of_any_text(spark):
+    """Ids that would break a header, and one that reads like null."""
+    ids = ["a\r\nWARC-Type: revisit", "null", None, "", "é%0A>", "b c", "nopage"]
+    df = spark.createDataFrame([(x, "u", "same" if k < 2 else f"own {k}") for k, x in enumerate(ids)], "page_id string, url string, html string")
+    folder = warc.archive_folder(df)
+    got = {r["record_id"]: (r["record_type"], r["refers_to"]) for r in warc.read(warc.write(df, folder), folder).collect()}
+    assert got == {x: ("response", None) for x in ids} | {"null": ("revisit", ids[0])}
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 
@@ -272,6 +414,28 @@ def test_pipeline_stage_by_stage(spark):
             assert not [(a, b) for a in kept for b in kept if a < b and jaccard(sets[a], sets[b]) >= 0.9]
         else:
             assert {r["doc_id"] for r in rows} <= set(was)
+        if name == "mixing sources":
+            from tests.llm.test_native import water
+
+            sizes, taken, copies = {}, {}, {}
+            for r in was.values():
+                sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").encode().split())
+            for r in rows:
+                taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").encode().split())
+                copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+                assert r == was[r["doc_id"]]
+            longest = max(len((r["text"] or "").encode().split()) for r in was.values())
+            assert all(abs(taken.get(s, 0) - t) <= longest for s, t in water(sizes).items()) and max(copies.values()) <= 3
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    sums = {}
+    for r in pieces:
+        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["n_tokens"]
+    want = {}
+    for r in docs.collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + len((r["text"] or "").encode().split())
+    assert sums == want
+    slots = [(r["bucket_len"], r["batch"], r["slot"]) for r in pieces if r["n_tokens"]]
+    assert len(set(slots)) == len(slots) and all(r["n_tokens"] <= r["bucket_len"] for r in pieces if r["n_tokens"])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).agg(F.sum("n_tokens")).first()[0]
     assert packed == sum(len(r["text"].encode().split()) for r in docs.collect())
     assert corpus_pipeline.run(spark, SMALL).agg(F.sum("n_tokens")).first()[0] == packed
