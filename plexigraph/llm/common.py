@@ -56,13 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Spark's setting that a query's shuffle files go when it ends, not when the driver next collects garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stash:
-    """A DataFrame written to, and read back from, the shared folder."""
+    """A DataFrame written to, and read back from, the shared folder.
+
+    The plan runs once, so its shuffle files are deleted with it.
+    """
 
     def __init__(self, df: DataFrame, tag: str):
         spark = df.sparkSession
         self.path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        before = spark.conf.get(FREED, "false")
+        spark.conf.set(FREED, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            spark.conf.set(FREED, before)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
