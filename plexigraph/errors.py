@@ -45,6 +45,10 @@ class WouldLoopError(GraphError):
     code = "WOULDLOOP"
 
 
+class UnfinishedError(GraphError):
+    """A loop reached the bound that its caller set, with work left."""
+
+
 class LogicalError(GraphError):
     """The call itself makes no sense."""
 

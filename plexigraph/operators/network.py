@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..errors import NotFoundError
+from ..errors import NotFoundError, UnfinishedError
 from ..functions.scalars import activation
 from ..model import Snapshot
 from ..scratch import Scratch
@@ -17,7 +17,7 @@ def _links(snap: Snapshot, direction: str) -> DataFrame:
     return out
 
 
-def infer(snap: Snapshot, start: str, end: str, values: list[float], function: str = "sigmoid", max_layers: int = 1000) -> list[float]:
+def infer(snap: Snapshot, start: str, end: str, values: list[float], function: str = "sigmoid", max_layers: int = 100_000) -> list[float]:
     """The output vector at ``end`` for the input vector ``values`` at ``start``.
 
     Forward edges (dir = f) carry a weight and an order; a node waits for as many messages
@@ -33,10 +33,12 @@ def infer(snap: Snapshot, start: str, end: str, values: list[float], function: s
     sent = links.filter(F.col("src") == start).filter(f"order >= 0 and order < {len(values)}").select("dst", "order", (F.col("weight") * given).alias("m"))
     pending = snap.spark.createDataFrame([], "node string, total double, n long")
     last = snap.spark.createDataFrame([], "order int, m double")
-    for layer in range(max_layers):
+    for layer in range(max_layers + 1):
         sent = scratch.save(sent, f"sent{layer}")
         if sent.isEmpty():
             break
+        if layer == max_layers:
+            raise UnfinishedError(f"signals are left after {max_layers} layers; the network has a cycle, or more of them")
         last = scratch.save(last.unionByName(sent.filter(F.col("dst") == end).select("order", "m")), f"last{layer}")
         arrived = sent.filter(F.col("dst") != end).select(F.col("dst").alias("node"), F.col("m").alias("total"), F.lit(1).cast("bigint").alias("n"))
         pending = pending.unionByName(arrived).groupBy("node").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

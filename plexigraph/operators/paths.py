@@ -8,6 +8,7 @@ Semantics are those of breadth-first levels, with ties to the smallest handle.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -246,11 +247,12 @@ def path_vertices(paths: DataFrame) -> DataFrame:
     return paths.select(F.transform(F.slice("path", 2, 1 << 30), lambda x, i: F.struct(F.get("path", i).alias("start"), x.alias("end"))).alias("pairs"))
 
 
-def cause_and_effect(snap: Snapshot, src: str, dst: str, confidence: str, cutoff: float = 0.1, max_hops: int = 10, node_preds: Requirements = None, edge_preds: Requirements = None, max_results: int | None = None) -> DataFrame:
+def cause_and_effect(snap: Snapshot, src: str, dst: str, confidence: str, cutoff: float = 0.1, max_hops: int | None = None, node_preds: Requirements = None, edge_preds: Requirements = None, max_results: int | None = None) -> DataFrame:
     """(path, confidence): simple paths src -> dst whose edge confidences multiply.
 
     A path is expanded while its product is above ``cutoff``; dst is accepted whatever the
-    product.  An edge without a numeric confidence is not used.  ``max_results`` keeps the most
+    product.  ``max_hops`` bounds the path's edges; by default only the cutoff ends the search, and a path
+    is simple, so it ends.  An edge without a numeric confidence is not used.  ``max_results`` keeps the most
     confident ones.
     """
     scratch = Scratch(snap.spark, "confidence")
@@ -259,7 +261,7 @@ def cause_and_effect(snap: Snapshot, src: str, dst: str, confidence: str, cutoff
     e = scratch.save(usable.join(c, "handle").select(F.col("src").alias("from"), "dst", F.col("value").try_cast("double").alias("c")).filter("c is not null"), "edges")
     front = snap.nodes.having(node_preds).filter(F.col("handle") == src).select("handle", F.array("handle").alias("path"), F.lit(1.0).alias("confidence"))
     done = []
-    for i in range(max_hops):
+    for i in itertools.count() if max_hops is None else range(max_hops):
         step = front.join(e, front["handle"] == e["from"]).filter(~F.array_contains("path", F.col("dst")))
         step = step.select(F.col("dst").alias("handle"), F.concat("path", F.array("dst")).alias("path"), (F.col("confidence") * F.col("c")).alias("confidence"))
         step = scratch.save(step.filter((F.col("handle") == dst) | (F.col("confidence") > cutoff)), f"step{i}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.cloudpickle import dumps
 from pyspark.sql import DataFrame, functions as F
 
-from ..errors import NotFoundError
+from ..errors import NotFoundError, UnfinishedError
 from ..model import Graph, Snapshot
 from ..scratch import Scratch, importable
 
@@ -56,13 +57,14 @@ def _step(compute: Compute, params: Any):
     return run
 
 
-def run_program(snap: Snapshot, compute: Compute, starts: list[tuple[str, Any]] | DataFrame, params: Any = None, max_steps: int = 100, combine: Callable | None = None, traffic: list[DataFrame] | None = None) -> DataFrame:
+def run_program(snap: Snapshot, compute: Compute, starts: list[tuple[str, Any]] | DataFrame, params: Any = None, max_steps: int | None = None, combine: Callable | None = None, traffic: list[DataFrame] | None = None) -> DataFrame:
     """(handle, payload): the results that a program emits, payloads as JSON.
 
     ``compute(vertex, messages, params)`` runs at each vertex that has messages and returns
     a :class:`Turn`.  State lives per vertex and run.  Messages to a vertex that is not visible
     are dropped.  ``combine``, an aggregate over the column ``payload``, folds the messages to
-    one vertex before the shuffle, which a hub needs.  The run ends with the messages.
+    one vertex before the shuffle, which a hub needs.  The run ends with the messages; with
+    ``max_steps``, a run that still has messages after so many steps raises.
     ``traffic`` collects, per step, (handle, n): the messages to each vertex, as weights for placement.
     """
     importable(snap.spark)
@@ -78,12 +80,14 @@ def run_program(snap: Snapshot, compute: Compute, starts: list[tuple[str, Any]]
     else:
         mail = snap.spark.createDataFrame([(h, json.dumps(m)) for h, m in starts], "handle string, payload string")
     results = []
-    for step in range(max_steps):
+    for step in itertools.count():
         if combine is not None:
             mail = mail.groupBy("handle").agg(combine(F.col("payload")).alias("payload"))
         mail = scratch.save(mail, f"mail{step}")
         if mail.isEmpty():
             break
+        if step == max_steps:
+            raise UnfinishedError(f"messages are left after {max_steps} steps")
         if traffic is not None:
             traffic.append(mail.groupBy("handle").agg(F.count("*").alias("n")))
         active = vertices.join(mail.select("handle").distinct(), "handle", "left_semi").join(states, "handle", "left")

@@ -625,6 +625,12 @@ def reach_path_whole(spark, sf_dir):
     return paths.reach(_users(spark, sf_dir), "U0", "U5").select("reachable", "hops")
 
 
+#: Over the sparse pairs they are only the pattern of the queries over all pairs, which take their names.
+WHOLE = ("reach_set", "n_hop_set", "discover_dag", "enumerate_paths", "confidence_paths", "event_order", "vertex_program_least", "reach_path")
+for _name in WHOLE:
+    QUERIES[_name], ORACLES[_name] = QUERIES.pop(f"{_name}_whole"), ORACLES.pop(f"{_name}_whole")
+
+
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for the stream source: the table itself if it is one, else a copy in the shared folder."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs

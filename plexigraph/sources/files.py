@@ -31,7 +31,7 @@ def _props(elements: DataFrame, options: LoadOptions) -> DataFrame:
     each = elements.select("handle", F.posexplode("data").alias("i", "d")).select("handle", "i", F.col("d._key").alias("key"), F.coalesce("d._VALUE", F.lit("")).alias("text"))
     each = each.select("handle", "i", "key", F.posexplode(split_values(F.col("text"), options.delimiter)).alias("j", "value"))
     each = each.dropDuplicates(["handle", "key", "value"])
-    return _versions(each.select("handle", "key", "value", (F.col("i") * 1000 + F.col("j")).cast("bigint").alias("ord")))
+    return _versions(each.select("handle", "key", "value", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("j")).alias("ord")))
 
 
 _DATA = "data ARRAY<STRUCT<_VALUE: STRING, _key: STRING>>"

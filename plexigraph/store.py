@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .errors import AbortedError
+from .errors import AbortedError, LogicalError
 from .model import TABLES, Elements, Graph, Snapshot
 from .scratch import Scratch
 
 OPS = "tx_id BIGINT, seq INT, op STRING, handle STRING, handle1 STRING, handle2 STRING, alias1 STRING, alias2 STRING, key STRING, value STRING"
 KEYS = {"nodes": ["handle"], "edges": ["handle"], "node_props": ["handle", "key", "value"], "edge_props": ["handle", "key", "value"], "aliases": ["alias", "handle"]}
+#: Rounds in which a batch may shed conflicting transactions.
+ROUNDS = 1000
 CLOSED = "handle STRING, key STRING, value STRING, alias STRING, created_v BIGINT, closed_v BIGINT"
 
 
@@ -231,15 +233,19 @@ class Store:
         number = self.head + 1
         snap = self.at(number - 1)
         # transaction numbers and sequence numbers become one order without a sort in one task
+        if not ops.filter((F.col("seq") < 0) | (F.col("seq") >= 1 << 20)).isEmpty():
+            raise LogicalError("a transaction has at most 2 ** 20 operations, numbered from 0")
         ordered = scratch.save(ops.withColumn("at", F.col("tx_id") * (1 << 20) + F.col("seq")), "ops")
         aborted: set[int] = set()
         resolved = scratch.save(_resolve(ordered, snap), "resolved0")
-        for i in range(1, 1000):
+        for i in range(1, ROUNDS + 1):
             bad = scratch.save(violations(resolved, snap), f"bad{i}")
             first = bad.groupBy("kind", "handle").agg(F.min("tx_id").alias("tx_id")).select("tx_id").distinct()
             out = {r["tx_id"] for r in first.collect()}  # conflicting transactions of one batch
             if not out:
                 break
+            if i == ROUNDS:
+                raise AbortedError(f"transactions still in conflict after {ROUNDS} rounds; nothing was committed")
             if atomic:
                 raise AbortedError(str(bad.limit(5).collect()))
             aborted |= out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plexigraph.errors import LogicalError, NotFoundError
 from plexigraph.functions.predicates import Pred, Relation
 from plexigraph.model import Elements, Graph, frame, graph_of
-from plexigraph.operators import access, local, network, paths, phrases, placement, star
+from plexigraph.operators import access, local, network, paths, phrases, placement, star, vertex
 from plexigraph.operators.traverse import Traversal, traverse_props
 
 NOW = 10
@@ -274,3 +274,20 @@ def test_shortest_paths_of_random_graphs(spark):
                 near[b] = near[a] + 1
                 queue.append(b)
     assert {r["handle"]: r["hops"] for r in paths.reach_set(g, start(spark, "0")).collect()} == near
+
+
+def test_bounds_raise(spark):
+    """A loop that reaches the bound its caller set says so; by default there is none."""
+    from plexigraph.errors import LogicalError, UnfinishedError
+    from plexigraph.store import OPS, Store
+
+    line = graph_of(spark, [str(i) for i in range(5)], [(f"e{i}", str(i), str(i + 1)) for i in range(4)]).at(1)
+    walk = lambda v, messages, params: vertex.Turn(None, [(e["dst"], 1) for e in v.edges], [1])
+    with pytest.raises(UnfinishedError):
+        vertex.run_program(line, walk, [("0", 1)], max_steps=2)
+    assert vertex.run_program(line, walk, [("0", 1)], max_steps=5).count() == 5
+    long = graph_of(spark, [str(i) for i in range(14)], [(f"e{i}", str(i), str(i + 1)) for i in range(13)], (), [(f"e{i}", "c", "0.99") for i in range(13)]).at(1)
+    assert paths.cause_and_effect(long, "0", "13", "c").count() == 1
+    store = Store(spark, f"{spark.conf.get('spark.checkpoint.dir')}/bounds")
+    with pytest.raises(LogicalError):
+        store.commit(spark.createDataFrame([(1, 1 << 20, "NODE_CREATE", "a", *[None] * 6)], OPS))
