@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``, with further columns of any name as they are.  Rows that repeat are
+judged alike; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -14,32 +15,41 @@ from plexigraph.llm.common import ship, stash, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects go; null and empty texts are scored as empty ones, null ids are never labelled."""
     ship(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Globally repeated multi-line chunks go from the texts; ``n_chars`` follows."""
+    """Globally repeated multi-line chunks go from the texts; ``n_chars`` follows.
+
+    The first occurrence stays: least id, a null one last, then place.  A null text stays null, with a null ``n_chars``.
+    """
     ship(spark)
     out = linededup.dedup_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each near-duplicate group stays: five-word shingles, a similarity of 0.8 or more.
+
+    The least id stays, a null one last; null and empty texts are alike.
+    """
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come near their target shares: documents are drawn, or taken up to three times."""
+    """Sources come near their target shares: documents are drawn, or taken up to three times.
+
+    A null source is a source; null and empty texts have size 0 and are free to take; ties go by id and md5 of the text.
+    """
     ship(spark)
     return mixing.take(docs, mixing.fit_mix(docs))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in token-budget batches of optimal length buckets."""
+    """Pieces of all documents in token-budget batches of optimal length buckets; texts without words have no batch."""
     ship(spark)
     return packing.pack(docs)
 
