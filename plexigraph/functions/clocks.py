@@ -48,13 +48,14 @@ def new_epoch(clock: Column, epoch: Column) -> Column:
 def least(clocks: DataFrame, id_col: str = "id", clock_col: str = "clock", parts: int = 64) -> DataFrame:
     """(id): the clocks that none of the others certainly precedes.
 
-    Every salted part first keeps its own minimal clocks, and those of all parts are
+    Equal clocks are one.  Every salted part first keeps its own minimal clocks, and those of all parts are
     then reduced together; a clock that is not minimal in its part is not minimal at all.
     """
     rows = clocks.select(F.col(id_col).alias("id"), F.col(clock_col).alias("clock"))
-    kind = f"id {rows.schema['id'].dataType.simpleString()}, clock array<bigint>"
-    local = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).applyInPandas(lambda p: _minimal(p)[["id", "clock"]], kind)
-    return local.groupBy(F.lit(0).alias("part")).applyInPandas(lambda p: _minimal(p)[["id", "clock"]], kind).select("id")
+    each = rows.select("clock").distinct()
+    local = each.groupBy(F.pmod(F.xxhash64("clock"), F.lit(parts)).alias("part")).applyInPandas(_minimal, "clock array<bigint>")
+    all_ = local.groupBy(F.lit(0).alias("part")).applyInPandas(_minimal, "clock array<bigint>")
+    return rows.join(all_, "clock", "left_semi").select("id")
 
 
 def _minimal(rows: pd.DataFrame) -> pd.DataFrame:
@@ -66,9 +67,10 @@ def _minimal(rows: pd.DataFrame) -> pd.DataFrame:
         c = clocks[i]
         if c[0] > clocks[order[0], 0]:
             break
-        if not any((clocks[k, 1:] <= c[1:]).all() and (clocks[k, 1:] < c[1:]).any() for k in kept):
+        have = clocks[kept, 1:]
+        if not ((have <= c[1:]).all(1) & (have < c[1:]).any(1)).any():
             kept.append(i)
-    return rows.iloc[kept]
+    return rows.iloc[kept][["clock"]]
 
 
 def floor(clocks: DataFrame, clock_col: str = "clock") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import NotFoundError
 from ..functions.predicates import Requirements
@@ -113,9 +113,10 @@ def edge_total(snap: Snapshot) -> DataFrame:
     return snap.edges.rows.agg(F.count("*").alias("n"))
 
 
-def node_count(snap: Snapshot, shards: int = 8) -> DataFrame:
-    """(shard, n) by hash placement."""
-    return snap.nodes.rows.groupBy(F.pmod(F.xxhash64("handle"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
+def node_count(snap: Snapshot, shards: int = 8, place: Column | None = None) -> DataFrame:
+    """(shard, n), by hash placement or by another expression."""
+    shard = F.pmod(F.xxhash64("handle"), F.lit(shards)) if place is None else place
+    return snap.nodes.rows.groupBy(shard.alias("shard")).agg(F.count("*").alias("n"))
 
 
 def has_aliases(snap: Snapshot, rows: DataFrame, aliases: Iterable[str]) -> DataFrame:

@@ -24,8 +24,7 @@ ORACLES: dict[str, str] = {}
 USERS_SQL = """
 u AS (SELECT DISTINCT src, dst FROM (
         SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst FROM events)
-      WHERE dst IS NOT NULL AND src <> dst),
-s AS (SELECT * FROM u WHERE (src * 31 + dst * 17 + 5) % 23 < 2)"""
+      WHERE dst IS NOT NULL AND src <> dst)"""
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -45,8 +44,8 @@ def _sales(spark: SparkSession, sf_dir: str, version: int = b.NOW):
     return b.sales_graph(spark, sf_dir).at(version)
 
 
-def _users(spark: SparkSession, sf_dir: str, sparse: bool = False):
-    return b.user_graph(spark, sf_dir, sparse).at(b.NOW)
+def _users(spark: SparkSession, sf_dir: str):
+    return b.user_graph(spark, sf_dir).at(b.NOW)
 
 
 # -- traversal -------------------------------------------------------------------
@@ -148,7 +147,7 @@ def pred_conjunction(spark, sf_dir):
 
 @query("""SELECT CAST(k % 8 AS INTEGER) AS shard, count(*) AS n FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT o_orderkey FROM orders UNION ALL SELECT p_partkey FROM part) GROUP BY 1""")
 def node_count_by_shard(spark, sf_dir):
-    return _sales(spark, sf_dir).nodes.rows.groupBy((b.key_of("handle") % 8).cast("int").alias("shard")).agg(F.count("*").alias("n"))
+    return access.node_count(_sales(spark, sf_dir), place=(b.key_of("handle") % 8).cast("int"))
 
 
 @query("""SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS n""")
@@ -191,15 +190,15 @@ def triangle_count(spark, sf_dir):
 # -- paths -----------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {USERS_SQL}, r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM r JOIN s ON node = src) SELECT node AS user_id FROM r""")
+@query(f"""WITH RECURSIVE {USERS_SQL}, r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM r JOIN u ON node = src) SELECT node AS user_id FROM r""")
 def reach_set(spark, sf_dir):
-    return paths.reach_set(_users(spark, sf_dir, True), b.one(spark, "U0")).select(b.key_of("handle").alias("user_id"))
+    return paths.reach_set(_users(spark, sf_dir), b.one(spark, "U0")).select(b.key_of("handle").alias("user_id"))
 
 
-@query(f"""WITH RECURSIVE {USERS_SQL}, r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN s ON node = src WHERE hops < 3)
+@query(f"""WITH RECURSIVE {USERS_SQL}, r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN u ON node = src WHERE hops < 3)
 SELECT node AS user_id, min(hops) AS hops FROM r GROUP BY 1""")
 def n_hop_set(spark, sf_dir):
-    return paths.reach_set(_users(spark, sf_dir, True), b.one(spark, "U0"), max_hops=3).select(b.key_of("handle").alias("user_id"), "hops")
+    return paths.reach_set(_users(spark, sf_dir), b.one(spark, "U0"), max_hops=3).select(b.key_of("handle").alias("user_id"), "hops")
 
 
 @query(f"""WITH RECURSIVE {USERS_SQL}, r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN u ON node = src WHERE hops < 8)
@@ -224,34 +223,39 @@ def widest_cost(spark, sf_dir):
     return paths.best_costs(paths.weights(snap, "weight"), "U0", widest=True).filter("cost is not null").select(b.key_of("handle").alias("user_id"), "cost")
 
 
-_DAG_SQL = f"""WITH RECURSIVE {USERS_SQL},
-f(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM f JOIN s ON node = src WHERE hops < 6 AND node <> 5),
-g(node, hops) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT src, hops + 1 FROM g JOIN s ON node = dst WHERE hops < 6 AND src <> 5),
+#: Edges of the paths that are listed: their number grows as the degree to this power.
+WHOLE_LEN = 4
+
+
+DAG_SQL = f"""WITH RECURSIVE {USERS_SQL},
+f(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM f JOIN u ON node = src WHERE hops < 6 AND node <> 5),
+g(node, hops) AS (SELECT CAST(5 AS BIGINT), 0 UNION SELECT src, hops + 1 FROM g JOIN u ON node = dst WHERE hops < 6 AND src <> 5),
 a AS (SELECT node, min(hops) AS h FROM f GROUP BY 1), z AS (SELECT node, min(hops) AS t FROM g GROUP BY 1),
-dag AS (SELECT src, dst FROM s JOIN a ON a.node = src JOIN z ON z.node = dst WHERE src <> 5 AND h + 1 + t <= 6)"""
+dag AS (SELECT src, dst FROM u JOIN a ON a.node = src JOIN z ON z.node = dst WHERE src <> 5 AND h + 1 + t <= 6)"""
 
 
-@query(f"{_DAG_SQL} SELECT src, dst FROM dag")
+@query(f"{DAG_SQL} SELECT src, dst FROM dag")
 def discover_dag(spark, sf_dir):
-    found = paths.discover_paths(_users(spark, sf_dir, True), "U0", "U5", 6)
+    found = paths.discover_paths(_users(spark, sf_dir), "U0", "U5", 6)
     return found.select(b.key_of("src").alias("src"), b.key_of("dst").alias("dst"))
 
 
-@query(f"""{_DAG_SQL}, p(node, path) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL SELECT dst, list_append(path, dst) FROM p JOIN dag ON node = src WHERE NOT list_contains(path, dst) AND len(path) <= 6 AND node <> 5)
-SELECT array_to_string(path, '>') AS path FROM p WHERE node = 5""")
+@query(f"""{DAG_SQL}, p(node, path) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL SELECT dst, list_append(path, dst) FROM p JOIN dag ON node = src WHERE NOT list_contains(path, dst) AND len(path) <= {WHOLE_LEN} AND node <> 5)
+SELECT array_to_string(path, '>') AS path FROM p WHERE node = 5""".replace("hops < 6", f"hops < {WHOLE_LEN}").replace("<= 6", f"<= {WHOLE_LEN}"))
 def enumerate_paths(spark, sf_dir):
-    dag = paths.discover_paths(_users(spark, sf_dir, True), "U0", "U5", 6)
-    found = paths.enumerate_paths(dag, "U0", "U5", 6)
+    dag = paths.discover_paths(_users(spark, sf_dir), "U0", "U5", WHOLE_LEN)
+    found = paths.enumerate_paths(dag, "U0", "U5", WHOLE_LEN)
     return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"))
 
 
-@query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst, round(0.05 + (src * 3 + dst * 5) % 19 / 20, 2) AS c FROM s),
+# products of four confidences have eight digits: rounded there, none is a tie
+@query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst, round(0.05 + (src * 3 + dst * 5) % 19 / 20, 2) AS c FROM u),
 p(node, path, conf) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 1.0::DOUBLE
-  UNION ALL SELECT dst, list_append(path, dst), conf * c FROM p JOIN e ON node = src WHERE NOT list_contains(path, dst) AND node <> 5 AND len(path) <= 6 AND (dst = 5 OR conf * c > 0.001))
-SELECT array_to_string(path, '>') AS path, round(conf, 6) AS confidence FROM p WHERE node = 5""")
+  UNION ALL SELECT dst, list_append(path, dst), conf * c FROM p JOIN e ON node = src WHERE NOT list_contains(path, dst) AND node <> 5 AND len(path) <= {WHOLE_LEN} AND (dst = 5 OR conf * c > 0.001))
+SELECT array_to_string(path, '>') AS path, round(conf, 8) AS confidence FROM p WHERE node = 5""")
 def confidence_paths(spark, sf_dir):
-    found = paths.cause_and_effect(_users(spark, sf_dir, True), "U0", "U5", "confidence", 0.001, max_hops=6)
-    return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"), F.round("confidence", 6).alias("confidence"))
+    found = paths.cause_and_effect(_users(spark, sf_dir), "U0", "U5", "confidence", 0.001, max_hops=WHOLE_LEN)
+    return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"), F.round("confidence", 8).alias("confidence"))
 
 
 # -- words, stars, networks ------------------------------------------------------------------
@@ -314,10 +318,10 @@ def snapshot_diff(spark, sf_dir):
     return b.sales_graph(spark, sf_dir).changes(100, 200).groupBy("kind", "change").agg(F.count("*").alias("n"))
 
 
-_CLOCK = "[CAST(event_id % 2 AS BIGINT), user_id % 5, CAST(floor(value) AS BIGINT) % 4]"
+CLOCK = "[CAST(event_id % 2 AS BIGINT), user_id % 5, CAST(floor(value) AS BIGINT) % 4]"
 
 
-@query(f"""WITH c AS (SELECT event_id, {_CLOCK} AS c FROM events), p AS (SELECT a.event_id, a.c AS x, b.c AS y FROM c a JOIN c b ON b.event_id = a.event_id + 1)
+@query(f"""WITH c AS (SELECT event_id, {CLOCK} AS c FROM events), p AS (SELECT a.event_id, a.c AS x, b.c AS y FROM c a JOIN c b ON b.event_id = a.event_id + 1)
 SELECT event_id, CASE WHEN x[1] < y[1] THEN 0 WHEN x[1] > y[1] THEN 1 WHEN (x[2] < y[2] OR x[3] < y[3]) AND (x[2] > y[2] OR x[3] > y[3]) THEN -1
   WHEN x[2] < y[2] OR x[3] < y[3] THEN 0 WHEN x[2] > y[2] OR x[3] > y[3] THEN 1 ELSE 2 END AS ord FROM p""")
 def vclock_compare(spark, sf_dir):
@@ -326,15 +330,15 @@ def vclock_compare(spark, sf_dir):
     return e.join(after, "event_id").select("event_id", clocks.compare(F.col("x"), F.col("y")).alias("ord"))
 
 
-@query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst FROM s WHERE src < dst),
+@query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst FROM u WHERE src < dst),
 r(a, node) AS (SELECT DISTINCT user_id, user_id FROM events UNION SELECT a, dst FROM r JOIN e ON node = src),
-n AS (SELECT DISTINCT user_id AS a, (user_id * 7 + 3) % 150 AS b FROM events), k AS (SELECT DISTINCT user_id AS id FROM events)
+n AS (SELECT DISTINCT user_id AS a, (user_id * 7 + 3) % (SELECT count(DISTINCT user_id) FROM events) AS b FROM events), k AS (SELECT DISTINCT user_id AS id FROM events)
 SELECT n.a, n.b, CASE WHEN n.b NOT IN (SELECT id FROM k) THEN 'NOEXIST' WHEN n.a = n.b THEN 'CONCURRENT'
   WHEN EXISTS (SELECT 1 FROM r WHERE r.a = n.a AND r.node = n.b) THEN 'BEFORE' WHEN EXISTS (SELECT 1 FROM r WHERE r.a = n.b AND r.node = n.a) THEN 'AFTER' ELSE 'CONCURRENT' END AS ord FROM n""")
 def event_order(spark, sf_dir):
     users = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("event_id")).distinct()
-    edges = b.user_pairs(spark, sf_dir, True).filter("src < dst")
-    pairs = users.select(F.col("event_id").alias("a"), ((F.col("event_id") * 7 + 3) % 150).alias("b"))
+    edges = b.user_pairs(spark, sf_dir).filter("src < dst")
+    pairs = users.select(F.col("event_id").alias("a"), ((F.col("event_id") * 7 + 3) % users.count()).alias("b"))
     return ordering.query_order(users, edges, pairs)
 
 
@@ -371,11 +375,11 @@ def _least(vertex_, messages, params):
     return vertex.Turn(heard, [(e["dst"], heard) for e in vertex_.edges], [heard])
 
 
-@query(f"""WITH RECURSIVE {USERS_SQL}, r(a, node) AS (SELECT DISTINCT user_id, user_id FROM events UNION SELECT a, dst FROM r JOIN s ON node = src)
+@query(f"""WITH RECURSIVE {USERS_SQL}, r(a, node) AS (SELECT DISTINCT user_id, user_id FROM events UNION SELECT a, dst FROM r JOIN u ON node = src)
 SELECT node AS user_id, min(a) AS least FROM r GROUP BY 1""")
 def vertex_program_least(spark, sf_dir):
     """A vertex program: the least user that reaches each user."""
-    snap = _users(spark, sf_dir, True)
+    snap = _users(spark, sf_dir)
     starts = snap.nodes.rows.select("handle", b.key_of("handle").cast("string").alias("payload"))
     least = lambda c: F.min(c.cast("bigint")).cast("string")
     out = vertex.run_program(snap, _least, starts, combine=least)
@@ -488,10 +492,10 @@ def edge_exists(spark, sf_dir):
     return access.edge_exists(_sales(spark, sf_dir), asked).select(b.key_of("handle").alias("event_id"), F.col("exists").alias("there"))
 
 
-@query(f"""WITH RECURSIVE {USERS_SQL}, r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN s ON node = src WHERE hops < 12)
+@query(f"""WITH RECURSIVE {USERS_SQL}, r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, hops + 1 FROM r JOIN u ON node = src WHERE hops < 12)
 SELECT count(*) > 0 AS reachable, min(hops) AS hops FROM r WHERE node = 5""")
 def reach_path(spark, sf_dir):
-    return paths.reach(_users(spark, sf_dir, True), "U0", "U5").select("reachable", "hops")
+    return paths.reach(_users(spark, sf_dir), "U0", "U5").select("reachable", "hops")
 
 
 @query(f"""WITH RECURSIVE {USERS_SQL}, e AS (SELECT src, dst, 1 + (src * 7 + dst * 13) % 20 AS w FROM u),
@@ -523,7 +527,7 @@ def star_tx(spark, sf_dir):
     return rows.select(b.key_of("src").alias("orderkey"), b.key_of("consumed").alias("consumed"))
 
 
-@query(f"""WITH c AS (SELECT {_CLOCK} AS c FROM events) SELECT [min(c[1]), min(c[2]), min(c[3])] AS clock FROM c""")
+@query(f"""WITH c AS (SELECT {CLOCK} AS c FROM events) SELECT [min(c[1]), min(c[2]), min(c[3])] AS clock FROM c""")
 def vclock_floor(spark, sf_dir):
     return clocks.floor(_clocks(spark, sf_dir))
 
@@ -533,7 +537,7 @@ def _clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", F.array((F.col("event_id") % 2).cast("bigint"), (F.col("user_id") % 5).cast("bigint"), (F.floor("value") % 4).cast("bigint")).alias("clock"))
 
 
-@query(f"""WITH c AS (SELECT event_id, user_id % 2 AS owner, {_CLOCK} AS c FROM events), n AS (
+@query(f"""WITH c AS (SELECT event_id, user_id % 2 AS owner, {CLOCK} AS c FROM events), n AS (
 SELECT event_id AS src, lead(event_id) OVER (PARTITION BY owner, c[1] ORDER BY c[owner + 2], event_id) AS dst FROM c) SELECT * FROM n WHERE dst IS NOT NULL""")
 def event_chain(spark, sf_dir):
     """Each event before the next of its clock owner and epoch."""
@@ -560,77 +564,6 @@ def stream_windows(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").filter("op != 'end'").select(F.col("start").cast("timestamp_ntz").alias("start"), "op", "n")
 
 
-# -- the whole user graph --------------------------------------------------------------------
-# The queries above that read the sparse pairs (s), over all pairs (u): their own SQL with s taken
-# to be all of u.  Only the length of listed paths is bounded.
-
-
-def _whole(name: str) -> str:
-    return ORACLES[name].replace(" WHERE (src * 31 + dst * 17 + 5) % 23 < 2", "")
-
-
-@query(_whole("reach_set"))
-def reach_set_whole(spark, sf_dir):
-    return paths.reach_set(_users(spark, sf_dir), b.one(spark, "U0")).select(b.key_of("handle").alias("user_id"))
-
-
-@query(_whole("n_hop_set"))
-def n_hop_set_whole(spark, sf_dir):
-    return paths.reach_set(_users(spark, sf_dir), b.one(spark, "U0"), max_hops=3).select(b.key_of("handle").alias("user_id"), "hops")
-
-
-@query(_whole("discover_dag"))
-def discover_dag_whole(spark, sf_dir):
-    found = paths.discover_paths(_users(spark, sf_dir), "U0", "U5", 6)
-    return found.select(b.key_of("src").alias("src"), b.key_of("dst").alias("dst"))
-
-
-#: Edges of the paths that are listed over the whole graph: their number grows as the degree to this power.
-WHOLE_LEN = 4
-
-
-@query(_whole("enumerate_paths").replace("hops < 6", f"hops < {WHOLE_LEN}").replace("<= 6", f"<= {WHOLE_LEN}"))
-def enumerate_paths_whole(spark, sf_dir):
-    dag = paths.discover_paths(_users(spark, sf_dir), "U0", "U5", WHOLE_LEN)
-    found = paths.enumerate_paths(dag, "U0", "U5", WHOLE_LEN)
-    return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"))
-
-
-# products of four confidences have eight digits: rounded there, none is a tie
-@query(_whole("confidence_paths").replace("<= 6", f"<= {WHOLE_LEN}").replace("round(conf, 6)", "round(conf, 8)"))
-def confidence_paths_whole(spark, sf_dir):
-    found = paths.cause_and_effect(_users(spark, sf_dir), "U0", "U5", "confidence", 0.001, max_hops=WHOLE_LEN)
-    return found.select(F.array_join(F.transform("path", lambda x: F.substring(x, 2, 20)), ">").alias("path"), F.round("confidence", 8).alias("confidence"))
-
-
-@query(_whole("event_order").replace("% 150", "% (SELECT count(DISTINCT user_id) FROM events)"))
-def event_order_whole(spark, sf_dir):
-    users = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("event_id")).distinct()
-    edges = b.user_pairs(spark, sf_dir).filter("src < dst")
-    pairs = users.select(F.col("event_id").alias("a"), ((F.col("event_id") * 7 + 3) % users.count()).alias("b"))
-    return ordering.query_order(users, edges, pairs)
-
-
-@query(_whole("vertex_program_least"))
-def vertex_program_least_whole(spark, sf_dir):
-    snap = _users(spark, sf_dir)
-    starts = snap.nodes.rows.select("handle", b.key_of("handle").cast("string").alias("payload"))
-    least = lambda c: F.min(c.cast("bigint")).cast("string")
-    out = vertex.run_program(snap, _least, starts, combine=least)
-    return out.groupBy(b.key_of("handle").alias("user_id")).agg(F.min(F.col("payload").cast("bigint")).alias("least"))
-
-
-@query(_whole("reach_path"))
-def reach_path_whole(spark, sf_dir):
-    return paths.reach(_users(spark, sf_dir), "U0", "U5").select("reachable", "hops")
-
-
-#: Over the sparse pairs they are only the pattern of the queries over all pairs, which take their names.
-WHOLE = ("reach_set", "n_hop_set", "discover_dag", "enumerate_paths", "confidence_paths", "event_order", "vertex_program_least", "reach_path")
-for _name in WHOLE:
-    QUERIES[_name], ORACLES[_name] = QUERIES.pop(f"{_name}_whole"), ORACLES.pop(f"{_name}_whole")
-
-
 def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A folder for the stream source: the table itself if it is one, else a copy in the shared folder."""
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs

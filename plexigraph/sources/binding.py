@@ -60,17 +60,16 @@ def sales_graph(spark: SparkSession, sf_dir: str) -> Graph:
 NOW = 1_000_000
 
 
-def user_pairs(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+def user_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst) long: users whose events of a type follow one another; distinct, without loops."""
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"))
-    e = e.filter("dst is not null and src != dst").distinct()
-    return e.filter("(src * 31 + dst * 17 + 5) % 23 < 2") if sparse else e
+    return e.filter("dst is not null and src != dst").distinct()
 
 
-def user_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:
+def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Users as nodes, :func:`user_pairs` as edges with a weight and a confidence."""
-    pairs = user_pairs(spark, sf_dir, sparse)
+    pairs = user_pairs(spark, sf_dir)
     always = [F.lit(-1).cast("bigint").alias("created_v"), F.lit(None).cast("bigint").alias("deleted_v")]
     users = table(spark, sf_dir, "events").select(handle("U", "user_id").alias("handle"), F.col("user_id")).distinct()
     nodes = users.select("handle", *always, F.concat(F.lit("user "), "user_id").alias("name"))
