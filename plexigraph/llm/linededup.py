@@ -6,6 +6,10 @@ nearby lines alone and an inserted line shifts no boundary beyond the next.
 Chunks of two or more lines are counted over the whole corpus by a 64-bit hash;
 of those whose hash repeats, the bytes are compared, and all but the first
 occurrence (least document id, a null one last, then position) are removed.
+Each match is then extended line by line, before its start and beyond its end, as long as
+the lines (by their md5) equal those around the first occurrence: a repeated block rarely
+begins and ends at boundaries.  A match looks REACH lines to each side; longer blocks hold
+further chunks.  A removed line always equals one at an earlier place, so one copy stays.
 
 The text is only moved where a chunk may repeat: counting shuffles hashes,
 and the two tables that decide (repeated hashes; chunks to remove) are
@@ -21,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import Stash, stash
 
 #: Lines under the rolling hash, its base and its modulus.
-WINDOW, BASE, MODULUS = 3, 31, 1_000_003
+WINDOW, BASE, MODULUS = 2, 31, 1_000_003
+#: Lines around a chunk that a match may take in, on each side.
+REACH = 16
 #: Rows up to which a deciding table is broadcast (at most some 100 bytes each).
 SMALL = 200_000
 
@@ -31,73 +37,95 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def chunk(text: Column, every: int) -> Column:
-    """array<struct<n int, body string>>: the chunks of a text, in order."""
+def chunk(text: Column, every: int, reach: int = 0) -> Column:
+    """array<struct<start int, n int, body string>>: the chunks of a text, in order, and the line each starts at.
+
+    With ``reach``, also ``before`` and ``after``: the md5 of so many lines around it, nearest first.
+    """
 
     def cut(lines: Column) -> Column:
-        return let(F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")), lambda h: ends(lines, h))
+        return let(F.transform(lines, F.md5), lambda m: hashed(lines, m))
 
-    def ends(lines: Column, h: Column) -> Column:
+    def hashed(lines: Column, m: Column) -> Column:
+        return let(F.transform(m, lambda x: F.conv(F.substring(x, 1, 7), 16, 10).cast("long")), lambda h: ends(lines, m, h))
+
+    def ends(lines: Column, m: Column, h: Column) -> Column:
         before = lambda i, k: F.coalesce(F.get(h, i - 1 - k), F.lit(0))
         rolled = lambda i: F.pmod(sum((before(i, k) * BASE ** (WINDOW - 1 - k) for k in range(1, WINDOW)), before(i, 0) * BASE ** (WINDOW - 1)), F.lit(MODULUS))
         last = lambda i: (i == F.size(lines)) | (rolled(i) % every == 0)
-        return let(F.filter(F.sequence(F.lit(1), F.size(lines)), last), lambda e: bodies(lines, e))
+        return let(F.filter(F.sequence(F.lit(1), F.size(lines)), last), lambda e: bodies(lines, m, e))
 
-    def bodies(lines: Column, e: Column) -> Column:
+    def bodies(lines: Column, m: Column, e: Column) -> Column:
         def body(end: Column, j: Column) -> Column:
             start = F.coalesce(F.get(e, j - 1), F.lit(0))
-            return F.struct((end - start).alias("n"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("body"))
+            own = [start.alias("start"), (end - start).alias("n"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("body")]
+            if reach:
+                first = F.greatest(start - reach, F.lit(0))
+                own += [F.reverse(F.slice(m, first + 1, start - first)).alias("before"), F.slice(m, end + 1, F.lit(reach)).alias("after")]
+            return F.struct(*own)
 
         return F.transform(e, body)
 
     return let(F.split(text, "\n"), cut)
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many elements two arrays begin with alike."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differ = F.array_position(same, F.lit(False))
+    return F.when(differ == 0, F.size(same)).otherwise(differ - 1).cast("int")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if a count shows at most SMALL rows; else as it is."""
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
-    """(id, key, removed array<int>): for each document, the chunks to remove.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 2) -> DataFrame:
+    """(id, key, removed array<int>): for each document, the lines to remove, from 0.
 
     ``key`` is md5 of the text: (id, key) names a document, and rows equal in
     both are one document.  Null texts have no chunks; chunks of one line or of white
-    space alone never count as repeated.
+    space alone never count as repeated, but may go as lines next to one that does.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text like '%\\n%'")
-    each = base.select("id", F.md5("text").alias("key"), F.posexplode(chunk(F.col("text"), every)).alias("at", "c"))
-    each = each.select("id", "key", "at", F.col("c.body").alias("body"), F.col("c.n").alias("n")).filter((F.col("n") > 1) & F.col("body").rlike(r"[^\x20\x09-\x0D]"))
-    hashed = each.withColumn("h", F.xxhash64("body"))
-    counts = hashed.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    twice = Stash(counts, "lines-twice")
-    candidates = Stash(hashed.join(_small(twice.df), "h", "left_semi").select("id", "key", "at", "h", "body"), "lines-candidates")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("at"))
+
+    def hashed(reach: int) -> DataFrame:
+        each = base.select("id", F.md5("text").alias("key"), F.explode(chunk(F.col("text"), every, reach)).alias("c")).select("id", "key", "c.*")
+        return each.filter((F.col("n") > 1) & F.col("body").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("body"))
+
+    twice = Stash(hashed(0).groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "lines-twice")
+    candidates = Stash(hashed(REACH).join(_small(twice.df), "h", "left_semi"), "lines-candidates")
+    place = [F.col("id").isNull().alias("none"), F.col("id"), F.col("key"), F.col("start")]
     # written first, so that the join has plain exchanges on both sides and a hot chunk can be split
-    first = Stash(candidates.df.groupBy("h", "body").agg(F.min(place).alias("first")), "lines-first")
-    later = candidates.df.join(first.df, ["h", "body"]).filter(~place.eqNullSafe(F.col("first")))
-    removed = stash(later.groupBy("id", "key").agg(F.sort_array(F.collect_set("at")).alias("removed")), "lines-removed")
+    first = Stash(candidates.df.groupBy("h", "body").agg(F.min(F.struct(*place, "before", "after")).alias("first")), "lines-first")
+    there = F.struct(*[F.col(f"first.{c}") for c in ("none", "id", "key", "start")])
+    later = candidates.df.join(first.df, ["h", "body"]).filter(~F.struct(*place).eqNullSafe(there))
+    start = F.col("start") - _common(F.col("before"), F.col("first.before"))
+    end = F.col("start") + F.col("n") + _common(F.col("after"), F.col("first.after"))
+    gone = later.select("id", "key", F.sequence(start, end - 1).alias("lines"))
+    removed = stash(gone.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("removed")), "lines-removed")
     for done in (candidates, twice, first):
         done.drop()
     return removed
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
-    """(doc struct, kept, chunks, removed): each row of ``docs``, the text that stays, and how many chunks there were and went.
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 2) -> DataFrame:
+    """(doc struct, kept, chunks, removed): each row of ``docs``, the text that stays, how many chunks there were and how many lines went.
 
-    The order of the remaining lines is kept; a text whose chunks all go becomes empty, a null text stays null and has no
+    The order of the remaining lines is kept; a text whose lines all go becomes empty, a null text stays null and has no
     chunks.  Rows equal in id and text are one document, and both are changed alike.  An empty table gives no rows.
     """
-    gone = repeated_chunks(docs, id_col, text_col, every)
+    gone = repeated_lines(docs, id_col, text_col, every)
     held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
     joined = held.join(_small(gone), F.col("own_id").eqNullSafe(F.col("id")) & (F.md5("own_text") == F.col("key")), "left")
-    pieces = lambda c: F.filter(c, lambda _, i: ~F.array_contains(F.col("removed"), i.cast("int")))
-    kept = F.array_join(F.transform(pieces(chunk(F.col("own_text"), every)), lambda x: x["body"]), "\n")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    kept = let(F.split(F.col("own_text"), "\n"), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
     return joined.select("doc", F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(kept).alias("kept"), F.coalesce(F.size(chunk(F.col("own_text"), every)), F.lit(0)).alias("chunks"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
-    """``docs``, all columns of any name, with the repeated chunks gone from the text: see :func:`judged`."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 2) -> DataFrame:
+    """``docs``, all columns of any name, with the repeated lines gone from the text: see :func:`judged`."""
     out = judged(docs, id_col, text_col, every)
     return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
@@ -106,27 +134,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 ORACLE_SQL = r"""
 WITH l AS (
   SELECT doc_id, text, md5(text) AS key, string_split(text, chr(10)) AS lines FROM documents),
+m AS (
+  SELECT *, list_transform(lines, lambda x: md5(x)) AS m FROM (SELECT DISTINCT * FROM l WHERE text IS NOT NULL)),
 h AS (
-  SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h FROM l),
+  SELECT *, list_transform(m, lambda x: CAST('0x' || substr(x, 1, 7) AS BIGINT)) AS h FROM m),
 e AS (
   SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR
-    ((h[i] * 961 + (CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 31 + (CASE WHEN i > 2 THEN h[i - 2] ELSE 0 END)) % 1000003) % 3 = 0) AS ends
+    ((h[i] * 31 + (CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END)) % 1000003) % 2 = 0) AS ends
   FROM h),
 c AS (
-  SELECT doc_id, key, text, ends, lines, unnest(range(1, len(ends) + 1)) AS j FROM e WHERE text IS NOT NULL),
+  SELECT doc_id, key, m, ends, lines, unnest(range(1, len(ends) + 1)) AS j FROM e),
+p AS (
+  SELECT *, CASE WHEN j > 1 THEN ends[j - 1] ELSE 0 END AS s, ends[j] AS t FROM c),
 b AS (
-  SELECT doc_id, key, j, ends[j] - (CASE WHEN j > 1 THEN ends[j - 1] ELSE 0 END) AS n,
-         array_to_string(lines[(CASE WHEN j > 1 THEN ends[j - 1] ELSE 0 END) + 1 : ends[j]], chr(10)) AS body
-  FROM c),
+  SELECT doc_id, key, s, t, array_to_string(lines[s + 1 : t], chr(10)) AS body,
+         list_reverse(m[greatest(s - 16, 0) + 1 : s]) AS before, m[t + 1 : t + 16] AS after
+  FROM p),
 f AS (
-  SELECT *, n > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]') AS countable FROM b),
-w AS (
-  SELECT *, countable AND row_number() OVER (PARTITION BY body, countable ORDER BY doc_id NULLS LAST, key, j) > 1 AS gone FROM f),
+  SELECT *, row_number() OVER w AS r, first_value(before) OVER w AS before1, first_value(after) OVER w AS after1
+  FROM b WHERE t - s > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]')
+  WINDOW w AS (PARTITION BY body ORDER BY doc_id NULLS LAST, key, s)),
+g AS (
+  SELECT doc_id, key, unnest(range(
+    s - len(list_filter(range(1, least(len(before), len(before1)) + 1), lambda i: before[1 : i] = before1[1 : i])),
+    t + len(list_filter(range(1, least(len(after), len(after1)) + 1), lambda i: after[1 : i] = after1[1 : i])))) AS line
+  FROM f WHERE r > 1),
 r AS (
-  SELECT doc_id, key, array_to_string(list(body ORDER BY j) FILTER (WHERE NOT gone), chr(10)) AS kept,
-         count(*) AS chunks, count(*) FILTER (WHERE gone) AS removed
-  FROM w GROUP BY doc_id, key)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.kept, '') END AS text,
-       CAST(coalesce(r.chunks, 0) AS INTEGER) AS chunks, CAST(coalesce(r.removed, 0) AS INTEGER) AS removed
-FROM documents d LEFT JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND md5(d.text) = r.key
+  SELECT doc_id, key, list(DISTINCT line) AS gone FROM g GROUP BY doc_id, key)
+SELECT d.doc_id, CASE WHEN r.gone IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(range(0, len(d.lines)), lambda i: NOT list_contains(r.gone, i)), lambda i: d.lines[i + 1]), chr(10)) END AS text,
+       CAST(coalesce(len(e.ends), 0) AS INTEGER) AS chunks, CAST(coalesce(len(r.gone), 0) AS INTEGER) AS removed
+FROM l d LEFT JOIN e ON d.doc_id IS NOT DISTINCT FROM e.doc_id AND d.key = e.key
+LEFT JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.key = r.key
 """
