@@ -76,9 +76,10 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(differ == 0, F.size(same)).otherwise(differ - 1).cast("int")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if a count shows at most SMALL rows; else as it is."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _small(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """Broadcast if counts show at most SMALL rows, and of the items in their arrays eight times as many; else as it is."""
+    rows, n = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if items is None else items), F.lit(0))).first()
+    return F.broadcast(df) if rows <= SMALL and n <= 8 * SMALL else df
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 2) -> DataFrame:
@@ -118,7 +119,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ever
     """
     gone = repeated_lines(docs, id_col, text_col, every)
     held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
-    joined = held.join(_small(gone), F.col("own_id").eqNullSafe(F.col("id")) & (F.md5("own_text") == F.col("key")), "left")
+    joined = held.join(_small(gone, F.size("removed")), F.col("own_id").eqNullSafe(F.col("id")) & (F.md5("own_text") == F.col("key")), "left")
     stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     kept = let(F.split(F.col("own_text"), "\n"), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
     return joined.select("doc", F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(kept).alias("kept"), F.coalesce(F.size(chunk(F.col("own_text"), every)), F.lit(0)).alias("chunks"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed"))
