@@ -15,6 +15,10 @@ class AbortedError(GraphError):
     code = "ABORT"
 
 
+class TakenError(AbortedError):
+    """Another writer was first with this commit number; the same transactions may be tried again."""
+
+
 class ActiveTxError(GraphError):
     """A transaction is open already."""
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .errors import AbortedError, LogicalError
+from .errors import AbortedError, LogicalError, TakenError
 from .model import TABLES, Elements, Graph, Snapshot
 from .scratch import Scratch
 
@@ -204,7 +204,9 @@ class Store:
             context.rename(hidden, final, none)
         except Exception as e:
             self._files.delete(hidden, False)
-            raise AbortedError(f"commit {commit} was taken by another writer") from e
+            if self._files.exists(final):
+                raise TakenError(f"commit {commit} was taken by another writer") from e
+            raise
 
     def _append(self, commit: int, changes: Plan) -> None:
         m = self._manifest(commit - 1)
@@ -220,15 +222,25 @@ class Store:
                     m[kind].setdefault(name, []).append(at)
         self._publish(commit, m)
 
-    def commit(self, ops: DataFrame | Iterable[tuple], atomic: bool = True) -> tuple[int, set[int]]:
+    def commit(self, ops: DataFrame | Iterable[tuple], atomic: bool = True, tries: int = 10) -> tuple[int, set[int]]:
         """Applies transactions in the order (tx_id, seq); returns (commit number, aborted tx ids).
 
         With ``atomic`` any violation aborts all with :class:`AbortedError`.  Otherwise
         the transactions that violate a rule are left out whole: of those in conflict over an
-        element the later ones, until none is left.
+        element the later ones, until none is left.  A commit that loses the race for its number is checked again
+        on the graph that the other writer left, ``tries`` times in all; then :class:`TakenError`.
         """
         if not isinstance(ops, DataFrame):
             ops = self.spark.createDataFrame(list(ops), OPS)
+        for left in range(tries - 1, -1, -1):
+            try:
+                return self._commit(ops, atomic)
+            except TakenError:
+                if not left:
+                    raise
+        raise LogicalError("at least one try")
+
+    def _commit(self, ops: DataFrame, atomic: bool) -> tuple[int, set[int]]:
         scratch = Scratch(self.spark, "commit")
         number = self.head + 1
         snap = self.at(number - 1)

@@ -329,3 +329,24 @@ def test_client_programs(spark, tmp_path):
     program = client.register_node_prog(_flood)
     assert client.run_node_prog(program, [("a", 0)]).count() == 4
     assert client.single_stream_migration(2).count() == 6 and client.aux_index
+
+
+def test_lost_race_is_tried_again(spark, tmp_path):
+    """A writer that loses its number commits after the other one; its rules are checked on what the other left."""
+    path = f"file://{tmp_path}/race"
+    ours, theirs = Store(spark, path), Store(spark, path)
+    node = lambda h: [(1, 0, "NODE_CREATE", h, None, None, None, None, None, None)]
+    ours.commit(node("first"))
+    append, lost = ours._append, []
+
+    def late(number, changes):
+        if not lost:
+            lost.append(theirs.commit(node("theirs"))[0])
+        append(number, changes)
+
+    ours._append = late
+    assert ours.commit(node("ours"))[0] == 3 and lost == [2]
+    assert {r[0] for r in theirs.at().nodes.rows.select("handle").collect()} == {"first", "theirs", "ours"}
+    lost.clear()
+    with pytest.raises(AbortedError):
+        ours.commit(node("theirs"))
