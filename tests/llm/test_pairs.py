@@ -229,6 +229,37 @@ def test_a_common_run_shares_a_seed():
         assert set(substring.seeds(x)[0].tolist()) & set(substring.seeds(y)[0].tolist())
 
 
+@pytest.mark.parametrize("block", [8, 64, 1 << 16])
+def test_words_of_many_texts(monkeypatch, block):
+    """Words and seeds of blocks of texts are those of each text."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(5)
+    parts = [" ", "\t", "a", "B", "é", "\n", "zz ", " ", "q "]
+    texts = pa.array([None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.choice((0, 1, 2, 5, 30, 80)))) for _ in range(200)])
+    for column in (texts, texts.cast(pa.large_string()), texts.slice(17, 90), texts.slice(0, 0)):
+        known, n = column.to_pylist(), 0
+        for at, counts, words in substring.many_words(column):
+            each = [substring.text_words(np.frombuffer((t or "").encode(), np.uint8)) for t in known[at : at + len(counts)]]
+            assert [len(w) for w in each] == counts.tolist() and np.concatenate(each).tolist() == words.tolist()
+            h, own, pos = substring.many_seeds(words, counts)
+            plain = [(i, *x) for i, w in enumerate(each) for x in zip(*(z.tolist() for z in substring.seeds(w)), strict=True)]
+            assert list(zip(own.tolist(), h.tolist(), pos.tolist(), strict=True)) == plain
+            n += len(counts)
+        assert n == len(known)
+
+
+def test_ends_of_many_chains():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 2, 400), rng.integers(0, 2, 400)
+    i, j = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    n = np.minimum(rng.integers(0, 70, 300), 400 - np.maximum(i, j))
+    assert substring.grown(a, b, i, j, n, 1).tolist() == [substring.extend(a[x : x + k], b[y : y + k]) for x, y, k in zip(i, j, n, strict=True)]
+    n = np.minimum(rng.integers(0, 70, 300), np.minimum(i, j) + 1)
+    assert substring.grown(a, b, i, j, n, -1).tolist() == [substring.extend(a[x - k + 1 : x + 1][::-1], b[y - k + 1 : y + 1][::-1]) for x, y, k in zip(i, j, n, strict=True)]
+
+
 def test_passages(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(4000)]
