@@ -337,6 +337,24 @@ def test_scattered_edits_are_found(spark):
     assert got == {(2 * i + 1, 2 * i) for i in range(24)}
 
 
+def test_alike_where_other_texts_hold_every_seed(spark):
+    """Passages of 60 words, four words more in one, of which earlier texts hold each part: no pair shares a run, nor both its seeds and their least holder."""
+    rng = random.Random(37)
+    vocab = [f"v{i}" for i in range(5000)]
+    prose = lambda n: rng.choices(vocab, k=n)
+    docs, need = [], set()
+    for g in range(10):
+        passage = prose(60)
+        parts = [passage[k : k + 12] for k in range(0, 60, 12)]
+        docs += [(100 * g + k, [*prose(40), *p, *prose(40)]) for k, p in enumerate(parts)]
+        docs += [(100 * g + 10, [*prose(40), *passage, *prose(40)])]
+        docs += [(100 * g + 20, [*prose(40), *parts[0], *(w for p in parts[1:] for w in ("new", *p)), *prose(40)])]
+        need.add((100 * g + 20, 100 * g + 10))
+    got = substring.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == need
+    assert all(r["n_common"] >= 58 and r["similarity"] > 0.95 for r in got)
+
+
 def test_exact_passages_against_brute_force(spark):
     """Every place of 50 words that stand earlier, in whatever document, is covered; documents share slices of a few passages."""
     rng = random.Random(23)
