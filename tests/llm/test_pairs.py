@@ -210,6 +210,16 @@ def test_chains_match_brute_force():
         assert all((np.diff(a[c]) > 0).all() and (np.diff(b[c]) > 0).all() for c in found)
 
 
+def test_ends_are_found_once():
+    """A chain whose sides are too unlike in length is parted without an alignment."""
+    x = np.arange(60, dtype=np.uint64)
+    a, b = np.concatenate((x, 1000 + x)), np.concatenate((x, 5000 + np.arange(90, dtype=np.uint64), 1000 + x))
+    seed, other = np.array([0, 30, 70, 110]), np.array([0, 30, 160, 200])
+    ends = substring.reach(a, b, seed, other)
+    assert ends == (0, 120, 0, 210)
+    assert sorted(substring.passages(a, b, seed, other, ends, 50, 0.8)) == [(0, 60, 0, 60, 60, 1.0), (60, 120, 150, 210, 60, 1.0)]
+
+
 def test_common_matches_brute_force():
     rng = random.Random(3)
     for _ in range(50):
@@ -260,6 +270,35 @@ def test_ends_of_many_chains():
     assert substring.grown(a, b, i, j, n, -1).tolist() == [substring.extend(a[x - k + 1 : x + 1][::-1], b[y - k + 1 : y + 1][::-1]) for x, y, k in zip(i, j, n, strict=True)]
 
 
+@pytest.mark.parametrize("few", [2, 1000])
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("within", [False, True])
+def test_shared_seeds_in_arrays(spark, monkeypatch, few, kind, within):
+    """Seeds of several documents, their least holders and numbers of places: the same if those of many places go apart."""
+    monkeypatch.setattr(substring, "MANY", 2)
+    monkeypatch.setattr(substring, "HOT", few)
+    monkeypatch.setattr(substring, "GATHER", 200)
+    rng = random.Random(43)
+    vocab, name = [f"v{i}" for i in range(3000)], str if kind == "string" else int
+    refrain, passage = rng.choices(vocab, k=9), rng.choices(vocab, k=30)
+    texts = [(name(i), " ".join(rng.choices(vocab, k=30) + refrain * rng.randrange(4) + (passage if i % 5 == 0 else []))) for i in range(8, 60)]
+    ship(spark)
+    docs = spark.createDataFrame(texts, f"id {kind}, text string").repartition(3)
+    _, hits = substring._seed_links(docs, {"long": "bigint"}.get(kind, kind), 1, within)
+    places = {}
+    for i, t in texts:
+        for h, pos in zip(*(x.tolist() for x in substring.seeds(substring.text_words(np.frombuffer(t.encode(), np.uint8)))), strict=True):
+            places.setdefault(h, []).append((i, pos))
+    want = set()
+    for h, p in places.items():
+        if min(p)[0] < max(p)[0] or within and len(p) > 1:
+            want |= {((h ^ 1 << 63) - (1 << 63), i, pos, min(p)[0], len(p)) for i, pos in p}
+    got = hits.collect()
+    assert {tuple(r)[:5] for r in got} == want and len(got) == len(want) > 200
+    first = {(r["h"], r["id"]): r["pos"] for r in sorted(got, key=lambda r: -r["pos"])}
+    assert all(r["top"] == (first[r["h"], r["id"]] == r["pos"]) for r in got if r["n"] <= 2)
+
+
 def test_passages(spark):
     rng = random.Random(6)
     vocab = [f"v{i}" for i in range(4000)]
